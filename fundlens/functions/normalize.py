@@ -53,7 +53,7 @@ def parse_date(c) -> Column:
     """Strict ``DD.MM.YYYY`` -> DATE; blank/invalid -> NULL (B2)."""
     s = unwrap(c)
     ok = s.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$")
-    return F.when(ok, F.try_to_date(s, F.lit("d.M.yyyy")))
+    return F.when(ok, F.try_to_date(s, "d.M.yyyy"))
 
 
 def year_of_date_text(c) -> Column:

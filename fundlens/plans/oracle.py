@@ -41,7 +41,7 @@ def oracle(name: str, sql: str) -> None:
 
 
 def oracles() -> dict[str, str]:
-    from fundlens.plans import oracle_more  # noqa: F401
+    from fundlens.plans import oracle_more, oracle_quality  # noqa: F401
     return dict(_ORACLES)
 
 

@@ -30,7 +30,7 @@ def query(name: str):
 
 def registry() -> dict[str, Query]:
     # import side-effect registrations of the later modules
-    from fundlens.plans import registry_more  # noqa: F401
+    from fundlens.plans import registry_more, registry_quality  # noqa: F401
     return dict(_REGISTRY)
 
 

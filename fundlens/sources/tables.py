@@ -168,3 +168,24 @@ projects AS (
   FROM p0
 )
 """
+
+
+# Two exports of the register for the snapshot diff (J4). The later export has the
+# projects that started in the last month of data (added), and no longer lists the
+# urgent, pending projects that started before March 1995 (withdrawn).
+def snapshot_old(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projects(spark, sf_dir).where(~(F.col("start_date") >= F.lit("2001-07-01").cast("date")))
+
+
+def snapshot_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = projects(spark, sf_dir)
+    withdrawn = ((F.col("work_unit") == "P") & (F.col("sponsor") == "1-URGENT")
+                 & (F.col("start_date") < F.lit("1995-03-01").cast("date")))
+    return p.where(~withdrawn)
+
+
+SNAPSHOT_SQL = """
+snap_old AS (SELECT * FROM projects WHERE NOT (start_date >= DATE '2001-07-01')),
+snap_new AS (SELECT * FROM projects
+             WHERE NOT (work_unit = 'P' AND sponsor = '1-URGENT' AND start_date < DATE '1995-03-01'))
+"""
