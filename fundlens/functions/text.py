@@ -15,6 +15,11 @@ from fundlens import dims
 
 WORD_SPLIT = r"[^\p{L}\p{N}_]+"
 KEYWORD_RUN = rf"^[{dims.KEYWORD_LETTERS}]{{{dims.KEYWORD_MIN_RUN},}}$"
+# One-pass form of "whole word, only these letters, longer than 4": a run of at least 5
+# such letters with no word character (letter, digit, underscore) right before or after.
+KEYWORD_MIN_KEPT = dims.KEYWORD_MIN_LEN_EXCLUSIVE + 1
+KEYWORD_IN_TEXT = (rf"(?<![\p{{L}}\p{{N}}_])[{dims.KEYWORD_LETTERS}]"
+                   rf"{{{max(dims.KEYWORD_MIN_RUN, KEYWORD_MIN_KEPT)},}}(?![\p{{L}}\p{{N}}_])")
 
 
 def words(text) -> Column:
@@ -23,11 +28,31 @@ def words(text) -> Column:
     return F.split(t, WORD_SPLIT)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition before CPU-heavy per-row work, only when the input has
+    fewer partitions than the cluster has cores (e.g. one unsplittable small file). A
+    large input already arrives in many splits and is left as it is."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def keyword_tokens(df: DataFrame, text: str = "title", keep: list[str] | None = None) -> DataFrame:
-    """One row per kept keyword occurrence: (keep..., word) with word lower-cased."""
+    """One row per kept keyword occurrence: (keep..., word) with word lower-cased.
+
+    A single regex pass per text extracts the qualifying words (no split into all words).
+    """
     keep = keep or []
     w = (df.where(F.col(text).isNotNull())
-         .select(*keep, F.explode(words(text)).alias("_w"))
-         .where(F.col("_w").rlike(KEYWORD_RUN))
+         .select(*keep, F.explode(F.regexp_extract_all(F.col(text), F.lit(KEYWORD_IN_TEXT), 0)).alias("_w"))
          .select(*keep, F.lower("_w").alias("word")))
+    return w.where(~F.col("word").isin(*dims.STOPWORDS))
+
+
+def keyword_tokens_by_split(df: DataFrame, text: str = "title") -> DataFrame:
+    """Reference form of ``keyword_tokens`` (split into word runs, test each run); used by
+    the tests to check the one-pass pattern."""
+    w = (df.where(F.col(text).isNotNull())
+         .select(F.explode(words(text)).alias("_w"))
+         .where(F.col("_w").rlike(KEYWORD_RUN))
+         .select(F.lower("_w").alias("word")))
     return w.where((F.length("word") > dims.KEYWORD_MIN_LEN_EXCLUSIVE) & ~F.col("word").isin(*dims.STOPWORDS))

@@ -11,20 +11,23 @@ from fundlens.operators import aggregate as A
 
 
 def word_counts(df: DataFrame, text: str = "title") -> DataFrame:
-    """word (lower case) -> occurrences. Partial counts per task before the shuffle, so a
-    very frequent word costs one row per task, not one per occurrence."""
-    return T.keyword_tokens(df, text).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    """word (lower case) -> occurrences over every text. Partial counts per task before the
+    shuffle, so a very frequent word costs one row per task, not one per occurrence."""
+    src = T.spread(df.where(F.col(text).isNotNull()).select(text))
+    return T.keyword_tokens(src, text).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
 
 
-def keyword_top(df: DataFrame, k: int = 100, text: str = "title") -> DataFrame:
+def keyword_top(df: DataFrame, k: int = 100, text: str = "title", wc: DataFrame | None = None) -> DataFrame:
     """Top k words by occurrences (ties: word ascending), capitalised for display."""
-    top = A.top_k(word_counts(df, text), k, "count", ["word"])
+    wc = wc if wc is not None else word_counts(df, text)
+    top = A.top_k(wc, k, "count", ["word"])
     return top.select(N.capitalize("word").alias("word"), "count")
 
 
-def top_words(df: DataFrame, k: int, text: str = "title") -> DataFrame:
+def top_words(df: DataFrame, k: int, text: str = "title", wc: DataFrame | None = None) -> DataFrame:
     """The k most frequent lower-case words; at most k rows, safe to broadcast."""
-    return A.top_k(word_counts(df, text), k, "count", ["word"]).select("word", "count")
+    wc = wc if wc is not None else word_counts(df, text)
+    return A.top_k(wc, k, "count", ["word"]).select("word", "count")
 
 
 def keyword_matches(projects: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -33,18 +36,18 @@ def keyword_matches(projects: DataFrame, keywords: DataFrame) -> DataFrame:
     A non-equi join: the k-row keyword list is broadcast and each title is tested against
     it (BroadcastNestedLoopJoin), so the cost is linear in projects times k.
     """
-    titles = (projects.where(F.col("title").isNotNull())
+    titles = (T.spread(projects.where(F.col("title").isNotNull()).select("title", "start_year", "amount"))
               .select(F.lower("title").alias("_lt"), "start_year", "amount"))
     return titles.join(F.broadcast(keywords.select("word")), F.col("_lt").contains(F.col("word")))
 
 
-def keyword_trends(projects: DataFrame, k: int = 50) -> DataFrame:
+def keyword_trends(projects: DataFrame, k: int = 50, wc: DataFrame | None = None) -> DataFrame:
     """For the top-k title words: yearly funding and projects plus totals.
 
     Output: keyword, year, funding, projects, total_funding, total_projects. Totals count
     matches without a start year too.
     """
-    kw = top_words(projects, k)
+    kw = top_words(projects, k, wc=wc)
     agg = (keyword_matches(projects, kw)
            .groupBy("word", "start_year").agg(F.sum("amount").alias("_f"), F.count("amount").alias("_n")))
     w = Window.partitionBy("word")
