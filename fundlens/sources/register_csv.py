@@ -71,6 +71,9 @@ def clean_header_name(raw: str | None) -> str:
 def _reader(spark: SparkSession):
     # Spark 4 only accepts Java charset names such as windows-1252 behind this flag.
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    # With pruning the parser tokenises only the referenced columns and cannot see that a
+    # row has too many cells; the reject rule needs the full count.
+    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
     return (spark.read.option("sep", SEP).option("encoding", ENCODING)
             .option("quote", "")  # wrapped cells start with '=', not a quote
             .option("mode", "PERMISSIVE"))
@@ -81,10 +84,9 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     rows = _reader(spark).option("header", "false").csv(path).limit(1).collect()
     if not rows:
         raise IngestError(f"no header line in {path}")
-    cells = list(rows[0])
-    while cells and cells[-1] is None:
-        cells.pop()
-    return [c or "" for c in cells]
+    # every cell of the header line counts, unnamed trailing ones included: data rows
+    # carry the same number of cells
+    return [c or "" for c in rows[0]]
 
 
 def validate_header(spark: SparkSession, path: str) -> list[str]:
@@ -130,7 +132,9 @@ def _too_long(lay: Layout):
 
 
 def rejects(raw: DataFrame, lay: Layout) -> DataFrame:
-    return raw.where(_too_long(lay)).select("_file", "_pos", F.col(CORRUPT).alias("line"))
+    # a data column is selected too: Spark refuses scans that read only the corrupt column
+    return raw.where(_too_long(lay)).select("_file", "_pos", F.col("_c0").alias("first_cell"),
+                                            F.col(CORRUPT).alias("line"))
 
 
 def normalise(raw: DataFrame, lay: Layout) -> DataFrame:
