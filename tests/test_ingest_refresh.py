@@ -92,3 +92,18 @@ def test_refresh_job(spark, export, scratch):
     assert {c["name"] for c in checks} >= {"ministry_projects", "joint_projects"}
     manifest = json.loads(open(glob(f"{out}/manifest/*.json")[0]).read())
     assert manifest["run_id"] == r["run_id"] and "docs/summary_stats" in manifest["artifacts"]
+
+
+def test_drop_folder_stream(spark, export, scratch):
+    import shutil
+    from fundlens.streaming import drop_folder
+    drop = os.path.join(scratch, "drop")
+    os.makedirs(drop)
+    shutil.copy(export, os.path.join(drop, "export-1.csv"))
+    prm = Params(current_year=2021, yoy_from=2019, train_from=2019, outlier_years=(), horizon=2)
+    q = drop_folder.start(spark, drop, export, os.path.join(scratch, "stream-out"), prm, name=os.path.basename(scratch))
+    q.awaitTermination(600)
+    assert q.exception() is None
+    docs = glob(os.path.join(scratch, "stream-out", "epoch=*", "docs", "summary_stats", "*.json"))
+    assert len(docs) == 1
+    assert json.loads(open(docs[0], encoding="utf-8").read())["total_projects"] == 4
