@@ -202,3 +202,85 @@ def schema_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     rows = [F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("dtype"),
                      F.col(f"n_{c}").alias("non_null"), F.col(f"d_{c}").alias("distinct")) for c in cols]
     return wide.select(F.inline(F.array(*rows)))
+
+
+def published_checks(projects: DataFrame, m: dict[str, DataFrame], population: DataFrame | None = None,
+                     reference_population: DataFrame | None = None) -> DataFrame:
+    """Published marts against the normalised table (J5-J15): one checks table.
+
+    ``m`` holds the marts a run wrote (read back from storage). Output: name, severity,
+    expected, actual, passed. Errors are totals that must agree; warnings are plausibility
+    checks (January peak, top lists, decade shares, per-capita, state trend coverage).
+    """
+    src = projects
+    one = src.agg(F.count(F.lit(1)).alias("rows"))
+    rows = _scalar(src, F.count(F.lit(1)))
+    funding = _scalar(src, N.money(F.sum("amount")))
+    summ = m["summary_stats"]
+
+    def within(a, b, pct):
+        return F.coalesce(F.abs(a - b) / F.abs(b) * 100.0 < pct, a == b)
+
+    def failed_count(df: DataFrame) -> Column:
+        return _scalar(df, F.count_if(~F.col("passed")))
+
+    checks = []
+    s_rows = _scalar(summ, F.first("total_projects"))
+    s_fund = _scalar(summ, F.first("total_funding"))
+    checks.append(check_row("summary_projects", "error", rows, s_rows, s_rows == rows, one))          # J6
+    checks.append(check_row("summary_funding", "error", funding, s_fund, within(s_fund, funding, 0.01), one))  # J5
+    ministry_src = src.where(F.col("ministry").isNotNull()).groupBy("ministry").agg(
+        N.money(F.sum("amount")).alias("total_funding"))
+    rec = reconcile_groups(m["ministry_funding"].withColumnRenamed("code", "ministry"), ministry_src,
+                           "ministry", "total_funding")
+    bad = failed_count(rec)
+    checks.append(check_row("ministry_groups", "error", F.lit(0), bad, bad == 0, one))                # J7
+    rec_src = src.where(F.col("recipient").isNotNull()).groupBy(F.col("recipient").alias("name")).agg(
+        N.money(F.sum("amount")).alias("total_funding"))
+    top5 = A.top_k(m["recipients_top_funding"], 5, "total_funding", ["name"])
+    rec5 = reconcile_groups(top5, rec_src.join(F.broadcast(top5.select("name")), "name", "left_semi"),
+                            "name", "total_funding")
+    bad = failed_count(rec5)
+    checks.append(check_row("recipients_top5", "warning", F.lit(0), bad, bad == 0, one))              # J7
+    st5 = A.top_k(m["state_funding"], 5, "total_funding", ["name"])
+    st_src = (src.where((F.col("country") == "Deutschland") & F.col("state").isNotNull())
+              .groupBy(F.col("state").alias("name")).agg(N.money(F.sum("amount")).alias("total_funding")))
+    bad = failed_count(reconcile_groups(st5, st_src.join(F.broadcast(st5.select("name")), "name", "left_semi"),
+                                        "name", "total_funding"))
+    checks.append(check_row("states_top5", "warning", F.lit(0), bad, bad == 0, one))                  # J7
+    distinct = _scalar(src, F.countDistinct("recipient"))
+    s_unique = _scalar(summ, F.first("unique_recipients"))
+    checks.append(check_row("unique_recipients", "error", distinct, s_unique, distinct == s_unique, one))  # J8
+    mon = m["monthly_distribution"]
+    jan = _scalar(mon, F.max(F.when(F.col("month") == 1, F.col("project_count"))))
+    other = _scalar(mon, F.max(F.when(F.col("month") != 1, F.col("project_count"))))
+    checks.append(check_row("january_highest", "warning", other, jan, F.coalesce(jan > other, F.lit(False)), one))  # J10
+    sp_src = src.groupBy("sponsor").agg(N.money(F.sum("amount")).alias("funding"))
+    ra = rank_aligned(m["sponsor_top"], sp_src, "total_funding", "funding", "code", "sponsor", 3)
+    bad = _scalar(ra, F.count_if(~F.col("same")))
+    checks.append(check_row("sponsors_top3", "warning", F.lit(0), bad, bad == 0, one))                # J11
+    dec = m["decade_ministry_share"].groupBy("decade").agg(F.sum("share_pct").alias("s"))
+    bad = _scalar(dec, F.count_if((F.col("s") <= 99.9) | (F.col("s") >= 100.1)))
+    checks.append(check_row("decade_shares_sum_100", "warning", F.lit(0), bad, bad == 0, one))        # J12
+    kt = m["keyword_trends"].groupBy("keyword").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("total_funding").isNull()
+                                                  | F.col("total_projects").isNull()).alias("missing"))
+    bad = _scalar(kt, F.count_if((F.col("n") == 0) | (F.col("missing") > 0)))
+    checks.append(check_row("keyword_trends_structure", "error", F.lit(0), bad, bad == 0, one))       # J13
+    et = (m["entity_trends_state"].groupBy("name").agg(F.first("total_funding").alias("trend"))
+          .join(m["state_funding"].select("name", F.col("total_funding").alias("geo")), "name"))
+    bad = _scalar(et, F.count_if(F.abs(F.col("trend") - F.col("geo")) / F.col("geo") * 100.0 > 20.0))
+    checks.append(check_row("state_trends_vs_geo", "warning", F.lit(0), bad, bad == 0, one))          # J14, C17
+    ref = reference_population if reference_population is not None else population
+    st = m["state_funding"].where(F.col("population").isNotNull())
+    n_pop = _scalar(st, F.count(F.lit(1)))
+    pc_bad = _scalar(st, F.count_if(F.abs(F.col("total_funding") / F.col("population")
+                                          - F.col("per_capita_funding")) >= 0.01))
+    checks.append(check_row("per_capita_formula", "warning", F.lit(0), pc_bad, pc_bad == 0, one))     # J15
+    checks.append(check_row("states_with_population", "warning", F.lit(16), n_pop, n_pop >= 16, one))  # J15
+    if ref is not None:
+        mism = _scalar(st.join(F.broadcast(ref.withColumnRenamed("state", "name")
+                                           .withColumnRenamed("population", "ref")), "name"),
+                       F.count_if(F.col("population") != F.col("ref")))
+        checks.append(check_row("population_matches_reference", "warning", F.lit(0), mism, mism == 0, one))
+    return reduce(DataFrame.unionByName, checks)

@@ -194,6 +194,11 @@ def analyse_and_publish(spark: SparkSession, projects_path: str, out: str, prm:
             jobs[f"docs/{name}"] = (lambda name=name, doc=doc: PB.write_document(doc, out, name))
     checks = Q.conservation_checks(p, population)
     jobs["reports/validation_report"] = lambda: PB.write_report(checks, out)
+    analysis = Q.published_checks(p, published, population)
+    jobs["reports/validation_analysis"] = lambda: PB.write_report(
+        analysis, out, "validation_analysis")
+    jobs["reports/validation_summary"] = lambda: PB.write_report(
+        Q.severity_rollup(analysis.unionByName(checks)), out, "validation_summary")
     run_concurrently(jobs, max_concurrent)
     return written + list(jobs)
 

@@ -16,6 +16,7 @@ Plan
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,8 +90,19 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     return [c or "" for c in rows[0]]
 
 
+MIN_EXPECTED_BYTES = 1_000_000
+
+
+def export_size(spark: SparkSession, path: str) -> int:
+    """Total bytes of the export(s): file metadata only, the content column is not read."""
+    return spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+
+
 def validate_header(spark: SparkSession, path: str) -> list[str]:
     """Header must carry the key marker and every required column (A2)."""
+    size = export_size(spark, path)
+    if size < MIN_EXPECTED_BYTES:
+        warnings.warn(f"{path} is only {size} bytes; a full register export is far larger")
     raw = read_header(spark, path)
     if not any(c.strip() == dims.REQUIRED_HEADER_MARKER for c in raw):
         raise IngestError(f"header of {path} lacks {dims.REQUIRED_HEADER_MARKER}")

@@ -107,3 +107,23 @@ def test_drop_folder_stream(spark, export, scratch):
     docs = glob(os.path.join(scratch, "stream-out", "epoch=*", "docs", "summary_stats", "*.json"))
     assert len(docs) == 1
     assert json.loads(open(docs[0], encoding="utf-8").read())["total_projects"] == 4
+
+
+def test_published_checks_on_driver_tables(spark, scratch):
+    from conftest import SF_SMALL
+    from fundlens.plans.params import DRIVER_PARAMS
+    from fundlens.plans.registry import driver_population
+    r = R.refresh_tables(spark, SF_SMALL, os.path.join(scratch, "t"), DRIVER_PARAMS,
+                         driver_population(spark, SF_SMALL), write_docs=False)
+    rows = [json.loads(line) for f in glob(f"{r['out']}/reports/validation_analysis/*.json") for line in open(f)]
+    by = {c["name"]: c for c in rows}
+    for name in ["summary_projects", "summary_funding", "ministry_groups", "unique_recipients",
+                 "keyword_trends_structure", "recipients_top5", "states_top5", "decade_shares_sum_100",
+                 "per_capita_formula"]:
+        assert by[name]["passed"], name
+    assert not by["states_with_population"]["passed"]  # the driver tables have 9 named states, not 16
+
+
+def test_small_export_warns(spark, export):
+    with pytest.warns(UserWarning):
+        RC.validate_header(spark, export)
