@@ -12,12 +12,16 @@ from oracle_check import canon, duck  # noqa: E402
 
 from conftest import SF_SMALL  # noqa: E402
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+from fundlens.plans.oracle import oracles  # noqa: E402
+from fundlens.plans.registry import registry  # noqa: E402
+
+QUERIES = registry()
+ORACLES = oracles()
 
 
 def test_every_query_has_an_oracle():
     assert sorted(QUERIES) == sorted(ORACLES)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
 
 
 def test_entry_smoke(spark):
