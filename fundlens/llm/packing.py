@@ -29,11 +29,13 @@ from fundlens.llm.common import map_arrow, written
 CAPACITY = 4096
 END_ID = 1
 SALTS = 64
-WORDS_KEPT = 600_000   # bound of a worker's table of known words; then it starts anew
+WORDS_KEPT = 1_000_000   # bound of a worker's table of known words; then it starts anew
 # every white-space character the tokenizer's own rule takes; str.split() has four more
 GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-SEPARATOR = "<|startoftext|>"
+MARK = "0"             # a digit is a piece, and an id, of its own
+TRAILING = ".,!?;:*$%&#|"
+TEXTS_AT_ONCE, CHARS_AT_ONCE = 256, 1_000_000
 _known: dict = {}      # by tokenizer file: (tokenizer, {word: ids as little-endian bytes})
 
 
@@ -50,37 +52,49 @@ class WordTokenizer:
             from tokenizers import Tokenizer
             _known[path] = (Tokenizer.from_file(path), {})
         self.tokenizer, self.words = _known[path]
-        self.mark = self.tokenizer.token_to_id(SEPARATOR)
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            plain = [w for w in part if SEPARATOR not in w]
-            for w in part:
-                if SEPARATOR in w:
-                    self.words[w] = self.encode(w)
-            if not plain:
-                continue
-            ids = np.array(self.tokenizer.encode(f" {SEPARATOR} ".join(plain), add_special_tokens=False).ids, "<u4")
+        """Ids of new words. Trailing ASCII punctuation after a letter is a piece of its own, so
+        such words (Latin letters that stay one letter in lower case) are put together from their parts; the others are encoded many at a time,
+        between marks that are sure to be one id and in none of them."""
+        words, whole, joined = self.words, {}, []
+        for w in new:
+            stem = w.rstrip(TRAILING)
+            if stem != w and stem and stem[-1] < "\u0250" and stem[-1] != "\u0130" and stem[-1].isalpha() and "<|" not in w:
+                joined.append((w, stem, w[len(stem):]))
+                whole[stem] = whole[w[len(stem):]] = None
+            else:
+                whole[w] = None
+        odd = [w for w in whole if w not in words and (MARK in w or "<|" in w)]
+        for w in odd:
+            words[w] = self.encode(w)
+        plain = [w for w in whole if w not in words]
+        for i in range(0, len(plain), 1024):
+            part = plain[i:i + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(ids == self.mark)
-            starts, ends = [0, *(at + 1).tolist()], [*at.tolist(), len(ids)]
             raw = ids.tobytes()
-            for w, a, b in zip(plain, starts, ends, strict=True):
-                self.words[w] = raw[4 * a:4 * b]
+            for w, a, b in zip(part, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)], strict=True):
+                words[w] = raw[4 * a:4 * b]
+        for w, stem, tail in joined:
+            words[w] = words[stem] + words[tail]
 
-    def ids(self, text: str) -> bytes:
-        parts = [w for w in GAP.split(text) if w] if ODD_SPACE.search(text) else text.split()
-        words = self.words
-        new = [w for w in dict.fromkeys(parts) if w not in words]
-        if new:
-            if len(words) + len(new) > WORDS_KEPT:
-                words.clear()
-                new = list(dict.fromkeys(parts))
-            self.learn(new)
-        return b"".join([words[w] for w in parts])
+    def split(self, text: str) -> list[str]:
+        return [w for w in GAP.split(text) if w] if ODD_SPACE.search(text) else text.split()
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, little-endian unsigned 32-bit."""
+        parts, words = [self.split(t) for t in texts], self.words
+        new = {w for p in parts for w in p if w not in words}
+        if len(words) + len(new) > WORDS_KEPT:
+            words.clear()
+            new = {w for p in parts for w in p}
+        self.learn(sorted(new))
+        return [b"".join([words[w] for w in p]) for p in parts]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -92,13 +106,19 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         tok = WordTokenizer(public_tokenizers.path(path) if os.sep not in path else path)
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
-            rows, out = [], []
-            for i, text in enumerate(b.column("text")):
-                raw = tok.ids(text.as_py() or "") + end
-                for k, a in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[a:a + 4 * capacity]
-                    rows.append(i)
-                    out.append((k, a // 4, len(part) // 4, zlib.crc32(part)))
+            rows, out, i = [], [], 0
+            while i < b.num_rows:
+                group, size = [], 0
+                while i + len(group) < b.num_rows and len(group) < TEXTS_AT_ONCE and size < CHARS_AT_ONCE:
+                    group.append(b.column("text")[i + len(group)].as_py() or "")
+                    size += len(group[-1])
+                for n, raw in enumerate(tok.ids_of(group)):
+                    raw += end
+                    for k, a in enumerate(range(0, len(raw), 4 * capacity)):
+                        part = raw[a:a + 4 * capacity]
+                        rows.append(i + n)
+                        out.append((k, a // 4, len(part) // 4, zlib.crc32(part)))
+                i += len(group)
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(cols[0], pa.int32()),
