@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundlens.llm.bytewords import U, mix, shingle_sets
-from fundlens.llm.common import byte_chunks, components, key_runs, map_arrow, partitions, written
+from fundlens.llm.common import byte_chunks, components, key_runs, map_arrow, only_ids, partitions, written
 
 PERCENT = 85
 TREES = 10
@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         names=["rep", "sig"]) for b in bs), "rep long, sig binary")
     placed = written(own.join(low, "rep"), "leaves")
     want = written(to_confirm(placed.select(F.explode("leaves").alias("leaf"), "rep", "sig", "leaves")), "to-confirm")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(want.select("rep").distinct(), "rep", "left_semi")
+    texts = only_ids(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep", want)
     links = confirmed(want.join(placed, "rep").join(texts, "rep").select("leaf", "rep", "sig", "leaves", "text"))
     comp = components(links.unionByName(twice))
     of = (member.join(comp, member["rep"] == comp["id"], "left")
