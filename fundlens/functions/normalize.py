@@ -146,14 +146,14 @@ def german_number_text(c, decimals: int = 2) -> Column:
 
 
 def compact_currency(c) -> Column:
-    """``1.2B €``-style compact text with T/B/M/K suffixes."""
+    """``€1.2B``-style compact text: T/B/M with one decimal, K and below without; negative
+    amounts are not abbreviated (H15)."""
     v = col_(c).cast("double")
-    a = F.abs(v)
-    return (F.when(a >= 1e12, F.format_string("%.1fT €", v / 1e12))
-            .when(a >= 1e9, F.format_string("%.1fB €", v / 1e9))
-            .when(a >= 1e6, F.format_string("%.1fM €", v / 1e6))
-            .when(a >= 1e3, F.format_string("%.1fK €", v / 1e3))
-            .otherwise(F.format_string("%.0f €", v)))
+    return (F.when(v >= 1e12, F.format_string("€%.1fT", v / 1e12))
+            .when(v >= 1e9, F.format_string("€%.1fB", v / 1e9))
+            .when(v >= 1e6, F.format_string("€%.1fM", v / 1e6))
+            .when(v >= 1e3, F.format_string("€%.0fK", v / 1e3))
+            .otherwise(F.format_string("€%.0f", v)))
 
 
 def truncate_label(c, n: int) -> Column:

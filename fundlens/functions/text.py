@@ -28,18 +28,6 @@ def words(text) -> Column:
     return F.split(t, WORD_SPLIT)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin repartition before CPU-heavy per-row work, only when the input has
-    fewer partitions than the cluster has cores (e.g. one unsplittable small file). A
-    large input already arrives in many splits and is left as it is."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()  # planning only, no job
-    except Exception:  # sessions without RDD access (e.g. Spark Connect): leave as is
-        return df
-    return df.repartition(target) if parts < target else df
-
-
 def keyword_tokens(df: DataFrame, text: str = "title", keep: list[str] | None = None) -> DataFrame:
     """One row per kept keyword occurrence: (keep..., word) with word lower-cased.
 

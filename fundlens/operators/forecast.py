@@ -72,12 +72,15 @@ def trend_forecast(projects: DataFrame, p: Params, series: list[str] | None = No
     pred = fut.select(*keys, "year", *predict(F.col("year"), p.interval_z))
     approved = yearly.where(F.col("year") > p.current_year).select(
         *keys, "year", F.col("funding").alias("approved_funding"), F.col("projects").alias("approved_projects"))
-    zero = F.lit(0.0)
+
+    def clamp(c):  # NULL (series too short for a fit or an interval) stays NULL
+        return F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.lit(0.0)))
+
     out = (pred.join(approved, keys + ["year"], "left")
            .select(*keys, "year",
-                   F.greatest(F.col("_yhat"), zero).alias("predicted_funding"),
-                   F.greatest(F.col("_lo"), zero).alias("lower_bound"),
-                   F.greatest(F.col("_hi"), zero).alias("upper_bound"),
+                   clamp("_yhat").alias("predicted_funding"),
+                   clamp("_lo").alias("lower_bound"),
+                   clamp("_hi").alias("upper_bound"),
                    "approved_funding", "approved_projects"))
     return _out(out, keys)
 

@@ -13,7 +13,7 @@ from fundlens.operators import aggregate as A
 def word_counts(df: DataFrame, text: str = "title") -> DataFrame:
     """word (lower case) -> occurrences over every text. Partial counts per task before the
     shuffle, so a very frequent word costs one row per task, not one per occurrence."""
-    src = T.spread(df.where(F.col(text).isNotNull()).select(text))
+    src = df.where(F.col(text).isNotNull()).select(text)
     return T.keyword_tokens(src, text).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -36,7 +36,7 @@ def keyword_matches(projects: DataFrame, keywords: DataFrame) -> DataFrame:
     A non-equi join: the k-row keyword list is broadcast and each title is tested against
     it (BroadcastNestedLoopJoin), so the cost is linear in projects times k.
     """
-    titles = (T.spread(projects.where(F.col("title").isNotNull()).select("title", "start_year", "amount"))
+    titles = (projects.where(F.col("title").isNotNull()).select("title", "start_year", "amount")
               .select(F.lower("title").alias("_lt"), "start_year", "amount"))
     return titles.join(F.broadcast(keywords.select("word")), F.col("_lt").contains(F.col("word")))
 

@@ -55,7 +55,7 @@ def state_funding(projects: DataFrame, population: DataFrame | None = None) -> D
     population = population if population is not None else dims.state_population(spark)
     stats = A.funding_stats(domestic(projects), ["state"])
     return (A.suppress_blank(stats, "state")
-            .join(F.broadcast(population), "state", "left")
+            .join(population, "state", "left")
             .select(F.col("state").alias("name"), "total_funding", "avg_funding", "project_count",
                     "population",
                     N.safe_ratio("total_funding", "population").alias("per_capita_funding")))

@@ -125,7 +125,7 @@ def conservation_checks(projects: DataFrame, population: DataFrame | None = None
     def funding_check(name, mart, col="total_funding"):
         # exact re-sum of the published group totals
         actual = _scalar(mart, F.coalesce(F.sum(F.col(col).cast("decimal(38,2)")), F.lit(0)).cast("double"))
-        passed = F.abs(actual - funding) / funding * 100.0 < 0.01
+        passed = F.coalesce(F.try_divide(F.abs(actual - funding), funding) * 100.0 < 0.01, actual == funding)
         return check_row(name, "error", funding, actual, passed, one)
 
     states = mart("state_funding", lambda: M.state_funding(projects, population))
@@ -230,7 +230,7 @@ def published_checks(projects: DataFrame, m: dict[str, DataFrame], population: D
     summ = m["summary_stats"]
 
     def within(a, b, pct):
-        return F.coalesce(F.abs(a - b) / F.abs(b) * 100.0 < pct, a == b)
+        return F.coalesce(F.try_divide(F.abs(a - b), F.abs(b)) * 100.0 < pct, a == b)
 
     def failed_count(df: DataFrame) -> Column:
         return _scalar(df, F.count_if(~F.col("passed")))
@@ -280,18 +280,18 @@ def published_checks(projects: DataFrame, m: dict[str, DataFrame], population: D
     checks.append(check_row("keyword_trends_structure", "error", F.lit(0), bad, bad == 0, one))       # J13
     et = (m["entity_trends_state"].groupBy("name").agg(F.first("total_funding").alias("trend"))
           .join(m["state_funding"].select("name", F.col("total_funding").alias("geo")), "name"))
-    bad = _scalar(et, F.count_if(F.abs(F.col("trend") - F.col("geo")) / F.col("geo") * 100.0 > 20.0))
+    bad = _scalar(et, F.count_if(F.try_divide(F.abs(F.col("trend") - F.col("geo")), F.col("geo")) * 100.0 > 20.0))
     checks.append(check_row("state_trends_vs_geo", "warning", F.lit(0), bad, bad == 0, one))          # J14, C17
     ref = reference_population if reference_population is not None else population
     st = m["state_funding"].where(F.col("population").isNotNull())
     n_pop = _scalar(st, F.count(F.lit(1)))
-    pc_bad = _scalar(st, F.count_if(F.abs(F.col("total_funding") / F.col("population")
+    pc_bad = _scalar(st, F.count_if(F.abs(F.try_divide(F.col("total_funding"), F.col("population"))
                                           - F.col("per_capita_funding")) >= 0.01))
     checks.append(check_row("per_capita_formula", "warning", F.lit(0), pc_bad, pc_bad == 0, one))     # J15
-    checks.append(check_row("states_with_population", "warning", F.lit(16), n_pop, n_pop >= 16, one))  # J15
+    checks.append(check_row("states_with_population", "error", F.lit(16), n_pop, n_pop >= 16, one))  # J15
     if ref is not None:
-        mism = _scalar(st.join(F.broadcast(ref.withColumnRenamed("state", "name")
-                                           .withColumnRenamed("population", "ref")), "name"),
+        mism = _scalar(st.join(ref.withColumnRenamed("state", "name")
+                               .withColumnRenamed("population", "ref"), "name"),
                        F.count_if(F.col("population") != F.col("ref")))
         checks.append(check_row("population_matches_reference", "warning", F.lit(0), mism, mism == 0, one))
     return reduce(DataFrame.unionByName, checks)

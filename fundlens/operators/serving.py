@@ -14,9 +14,9 @@ from fundlens.operators import trends as TR
 
 
 def last_years(projects: DataFrame, current_year: int, span: int = 20) -> DataFrame:
-    """Yearly totals of the last ``span`` years up to the current year (K1)."""
+    """Yearly totals from ``current_year - span`` on, approved future years included (K1)."""
     y = TR.yearly_totals(projects)
-    return y.where((F.col("year") >= current_year - span) & (F.col("year") <= current_year))
+    return y.where(F.col("year") >= current_year - span)
 
 
 def per_capita_ranking(projects: DataFrame, population: DataFrame | None = None, k: int = 16) -> DataFrame:

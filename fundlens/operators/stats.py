@@ -63,7 +63,7 @@ def linear_trend(yearly: DataFrame, series: list[str] | None = None) -> DataFram
 
 def coefficient_of_variation(yearly: DataFrame) -> DataFrame:
     """std / mean * 100 of yearly funding."""
-    return yearly.agg((F.stddev_samp("funding") / F.avg("funding") * 100.0).alias("volatility_pct"))
+    return yearly.agg((F.try_divide(F.stddev_samp("funding"), F.avg("funding")) * 100.0).alias("volatility_pct"))
 
 
 def time_axis_split(projects: DataFrame, current_year: int) -> DataFrame:

@@ -266,9 +266,9 @@ def fit_ctes(series: str | None = None) -> list[str]:
 )"""]
 
 
-FORECAST_SELECT = f"""round(greatest(yhat, 0.0), 2) AS predicted_funding,
-       round(greatest(yhat - {Z} * se, 0.0), 2) AS lower_bound,
-       round(greatest(yhat + {Z} * se, 0.0), 2) AS upper_bound"""
+FORECAST_SELECT = f"""CASE WHEN yhat IS NOT NULL THEN round(greatest(yhat, 0.0), 2) END AS predicted_funding,
+       CASE WHEN se IS NOT NULL THEN round(greatest(yhat - {Z} * se, 0.0), 2) END AS lower_bound,
+       CASE WHEN se IS NOT NULL THEN round(greatest(yhat + {Z} * se, 0.0), 2) END AS upper_bound"""
 
 oracle("forecast_trend", with_projects(YEARLY, *fit_ctes()) + f"""
 SELECT p.year, {FORECAST_SELECT}, a.funding AS approved_funding, a.projects AS approved_projects

@@ -33,7 +33,7 @@ oracle("blank_audit", with_projects() + "\nUNION ALL\n".join(
 oracle("blank_samples", with_projects("flags AS (" + "\nUNION ALL\n".join(
     f"SELECT row_id, fkz, '{c}' AS \"column\" FROM projects WHERE {blank(c)}" for c in AUDIT_COLUMNS) + ")") + """
 SELECT row_id, fkz, "column" FROM (
-  SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY row_id) AS rn FROM flags) t WHERE rn <= 3
+  SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY row_id) AS rn FROM flags) t WHERE rn <= 10
 """)
 
 oracle("key_uniqueness", with_projects() + """
@@ -176,7 +176,7 @@ SELECT * FROM (SELECT 'added_first' AS list, fkz FROM (SELECT DISTINCT fkz FROM
 
 oracle("last_years", with_projects() + f"""
 SELECT start_year AS year, {STATS} FROM projects WHERE start_year IS NOT NULL
-  AND start_year >= {P.current_year - 3} AND start_year <= {P.current_year} GROUP BY start_year
+  AND start_year >= {P.current_year - 3} GROUP BY start_year
 """)
 
 oracle("per_capita_ranking", with_projects(POPULATION, f"""st AS (
@@ -238,10 +238,10 @@ ORDER BY total_funding DESC, name LIMIT 15
 
 
 def _compact(v: str) -> str:
-    return (f"CASE WHEN abs({v}) >= 1e12 THEN printf('%.1fT €', {v} / 1e12) "
-            f"WHEN abs({v}) >= 1e9 THEN printf('%.1fB €', {v} / 1e9) "
-            f"WHEN abs({v}) >= 1e6 THEN printf('%.1fM €', {v} / 1e6) "
-            f"WHEN abs({v}) >= 1e3 THEN printf('%.1fK €', {v} / 1e3) ELSE printf('%.0f €', {v}) END")
+    return (f"CASE WHEN {v} >= 1e12 THEN printf('€%.1fT', {v} / 1e12) "
+            f"WHEN {v} >= 1e9 THEN printf('€%.1fB', {v} / 1e9) "
+            f"WHEN {v} >= 1e6 THEN printf('€%.1fM', {v} / 1e6) "
+            f"WHEN {v} >= 1e3 THEN printf('€%.0fK', {v} / 1e3) ELSE printf('€%.0f', {v}) END")
 
 
 oracle("display_formats", with_projects(f"""m AS (

@@ -33,7 +33,7 @@ def q_blank_audit(spark, sf):
 
 @query("blank_samples")
 def q_blank_samples(spark, sf):
-    return Q.blank_samples(projects(spark, sf), n=3)
+    return Q.blank_samples(projects(spark, sf), n=10)
 
 
 @query("key_uniqueness")

@@ -83,5 +83,5 @@ def test_formats(spark):
     assert one(spark, N.german_number_text, 1234.56, "double") == "1.234,56"
     assert one(spark, lambda c: N.truncate_label(c, 5), "abcdefgh") == "abcde..."
     assert one(spark, N.month_name, 3, "int") == "Mar"
-    assert one(spark, N.compact_currency, 2.5e9, "double") == "2.5B €"
+    assert one(spark, N.compact_currency, 2.5e9, "double") == "€2.5B"
     assert one(spark, N.capitalize, "größe") == "Größe"
