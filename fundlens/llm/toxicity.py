@@ -7,8 +7,8 @@ model learns from inputs as good as those it will see.
 
 The models are fitted on a bounded sample of labelled rows (``TRAIN_ROWS``, chosen by a hash of
 doc_id) with a bounded vocabulary (``FEATURES`` words with the strongest association in the
-sample) and applied to every document. Cases: null or empty text has no words and gets the base
-rate; a document may have several label rows (the largest value counts) or none; null labels
+sample) and applied to every document. Cases: a text without a known word (also null or
+empty) gets the base rates and is not flagged; a document may have several label rows (the largest value counts) or none; null labels
 count as 0; without labelled rows, or with one class only, nothing is flagged; repeated rows
 keep their multiplicity; extra columns are ignored.
 """
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features: in
             weights.append(np.concatenate([np.zeros(x.shape[1]), [30.0 if base else -30.0]]).astype(np.float32))
         oof_all.append(oof)
         x = np.concatenate([x, oof[:, None].astype(np.float32)], axis=1)
-    return {"vocab": vocab, "weights": weights, "threshold": threshold(oof_all[-1], y[:, -1])}
+    return {"vocab": vocab, "weights": weights, "base": y.mean(axis=0), "threshold": threshold(oof_all[-1], y[:, -1])}
 
 
 def threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -177,14 +177,17 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = model["vocab"]
         for b in batches:
-            probs = np.empty((b.num_rows, len(CHAIN)))
+            probs, known = np.empty((b.num_rows, len(CHAIN))), np.ones(b.num_rows, bool)
             for i, own in enumerate(word_sets(b.column("text"))):
                 at = found(vocab, own)
+                if not len(at):     # nothing known: the base rates
+                    probs[i], known[i] = model["base"], False
+                    continue
                 for c, w in enumerate(model["weights"]):
                     z = w[at].sum(dtype=float) + w[len(vocab):-1] @ probs[i, :c] + w[-1]
                     probs[i, c] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(probs[:, 0]), pa.array(probs[:, 1]),
-                                              pa.array(probs[:, 1] >= model["threshold"])],
+                                              pa.array((probs[:, 1] >= model["threshold"]) & known)],
                                              names=["doc_id", "p_low_quality", "p_toxic", "toxic"])
 
     return map_arrow(docs.select("doc_id", "text"), score, schema)
