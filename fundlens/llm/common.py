@@ -69,28 +69,47 @@ def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
 FILTER_WORDS = 1 << 17   # 64-bit words: an 8-million-bit filter, 1 MB
 
 
-def only_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The ``rows`` whose ``key`` is in the column of the same name of ``ids``, exactly.
-
-    A hash bitmap of fixed size (1 MB, whatever the corpus) first lets go of most other rows,
-    so their texts are not shuffled; the semi join then decides. With very many ids the bitmap
-    only lets more rows through.
-    """
-    bit = F.pmod(F.xxhash64(key), F.lit(64 * FILTER_WORDS))
-    parts = (ids.select(F.floor(bit / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), 64) as int))").alias("b"))
+def _bitmap(key: str, ids: DataFrame) -> np.ndarray:
+    """Fixed-size hash bitmap of the ids."""
+    at = F.pmod(F.xxhash64(key), F.lit(64 * FILTER_WORDS))
+    parts = (ids.select(F.floor(at / 64).cast("int").alias("w"),
+                        F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), 64) as int))").alias("b"))
              .groupBy("w").agg(F.bit_or("b").alias("b")).collect())       # at most FILTER_WORDS rows
     bits = np.zeros(FILTER_WORDS, np.int64)
     for r in parts:
         bits[r["w"]] = r["b"]
+    return bits
+
+
+def _marked(rows: DataFrame, key: str, bits: np.ndarray, seen: bool) -> DataFrame:
+    """The rows whose key's bit is set (``seen``) or is not."""
     cols = rows.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.column("_bit").to_numpy()
-            yield b.filter(pa.array((bits[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)).select(cols)
+            hit = (bits[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            yield b.filter(pa.array(hit == seen)).select(cols)
+
+    bit = F.pmod(F.xxhash64(key), F.lit(64 * FILTER_WORDS))
+    return map_arrow(rows.withColumn("_bit", bit), work, rows.schema)
+
+
+def only_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``key`` is in the column of the same name of ``ids``, exactly.
+
+    A hash bitmap of fixed size (1 MB, whatever the corpus) first lets go of most other rows,
+    so their texts are not shuffled; the semi join then decides. With very many ids the bitmap
+    only lets more rows through.
+    """
+    return _marked(rows, key, _bitmap(key, ids), True).join(ids.select(key).distinct(), key, "left_semi")
+
 
-    near = map_arrow(rows.withColumn("_bit", bit), work, rows.schema)
-    return near.join(ids.select(key).distinct(), key, "left_semi")
+def without_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The other rows, exactly: those whose bit is not set pass, the anti join decides the rest."""
+    bits = _bitmap(key, ids)
+    rest = _marked(rows, key, bits, True).join(ids.select(key).distinct(), key, "left_anti").select(*rows.columns)
+    return _marked(rows, key, bits, False).unionByName(rest)
 
 
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundlens.llm.bytewords import U, mix, shingle_sets
-from fundlens.llm.common import byte_chunks, components, key_runs, map_arrow, only_ids, partitions, written
+from fundlens.llm.common import byte_chunks, components, key_runs, map_arrow, only_ids, partitions, without_ids, written
 
 PERCENT = 85
 TREES = 10
@@ -250,8 +250,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = written(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "gone")
+    return without_ids(docs, "doc_id", gone)
 
 
 ORACLE = r"""
