@@ -1,13 +1,13 @@
 """Near-duplicate components by a chosen-path similarity join.
 
-Documents are sets of 5-word shingles, linked from a Jaccard similarity of 0.85 up. Equal sets
-are one class. Each of ``TREES`` independent trees sends a class down paths: a node picks one
-minwise coordinate (and, with probability 1/0.85 - 1, a second one) from its own path alone and
-splits its classes by their minwise value there, so a path needs no coordination between
+Documents are sets of 5-word shingles, linked from a Jaccard similarity of ``percent`` up. Equal
+sets are one class. Each of ``TREES`` independent trees sends a class down paths: a node picks one
+minwise coordinate (and, with probability 100 / percent - 1, a second one) from its own path alone
+and splits its classes by their minwise value there, so a path needs no coordination between
 documents. Nodes of up to ``LEAF`` classes are compared exhaustively; larger ones go down
-another level and, at the last level, are compared in pairs of blocks. A pair at the threshold
-meets in a tree with probability 0.87 at the first level and about 0.7 at the third: ten trees
-miss it with less than 1e-5.
+another level and, at the last level, are compared in pairs of blocks. A pair at a threshold of
+0.85 (0.8) meets in a tree with probability 0.87 (0.84) at the first level and about 0.7 (0.6) at
+the third: ten trees miss it with less than 1e-5 (1e-4).
 
 In a leaf, pairs whose signatures agree far enough (four standard deviations under the
 threshold) are candidates; a pair that meets in several leaves is taken in the smallest only.
@@ -32,15 +32,21 @@ from pyspark.sql import functions as F
 from fundlens.llm.bytewords import U, mix, shingle_sets
 from fundlens.llm.common import byte_chunks, components, key_runs, map_arrow, only_ids, partitions, without_ids, written
 
-PERCENT = 85
+PERCENT = 85           # of the query; the pipeline's stage takes STAGE_PERCENT
+STAGE_PERCENT = 80
 TREES = 10
 COORDINATES = 128
 LEAF = 1024
 LEVELS = 4
-AGREE = int(COORDINATES * (PERCENT / 100 - 4 * (0.85 * 0.15 / COORDINATES) ** 0.5))
 _mult = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 62, COORDINATES, dtype=np.uint64) * U(2) + U(1)
 
 
+def agreement(percent: int) -> int:
+    """Equal coordinates of a pair at the threshold, less four standard deviations."""
+    p = percent / 100
+    return int(COORDINATES * (p - 4 * (p * (1 - p) / COORDINATES) ** 0.5))
+
+
 def minwise(s: np.ndarray) -> np.ndarray:
     """COORDINATES minwise values (32 bits) of a non-empty set."""
     out = np.full(COORDINATES, 0xFFFFFFFF, np.uint64)
@@ -70,12 +76,12 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_arrow(src, work, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
 
 
-def chosen(node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def chosen(node: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The coordinates a node splits by: the first, the second, and whether it takes the second."""
     r = mix(node ^ U(0x5851F42D4C957F2D))
     one = r % U(COORDINATES)
     two = (one + U(1) + (r >> U(20)) % U(COORDINATES - 1)) % U(COORDINATES)
-    return one, two, (r >> U(40)).astype(float) / 2.0 ** 24 < 100 / PERCENT - 1
+    return one, two, (r >> U(40)).astype(float) / 2.0 ** 24 < 100 / percent - 1
 
 
 def child(node: np.ndarray, coordinate: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -88,14 +94,14 @@ def sig_matrix(col: pa.Array, width: str = "<u4") -> np.ndarray:
     return np.frombuffer(raw, width).reshape(len(col), COORDINATES)
 
 
-def split(rows: DataFrame, roots: bool) -> DataFrame:
+def split(rows: DataFrame, roots: bool, percent: int) -> DataFrame:
     """(node, rep) of the children: of every tree's root, or of each row's node."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tops = mix(np.arange(1, TREES + 1, dtype=U))
         for b in batches:
             sig, rep = sig_matrix(b.column("sig")), b.column("rep").to_numpy()
             nodes = tops if roots else b.column("node").to_numpy().view(U)
-            one, two, both = chosen(nodes)
+            one, two, both = chosen(nodes, percent)
             out, reps = [], []
             if roots:
                 for node, c1, c2, second in zip(nodes, one, two, both, strict=True):
@@ -113,9 +119,9 @@ def split(rows: DataFrame, roots: bool) -> DataFrame:
     return map_arrow(rows.select(*([] if roots else ["node"]), "rep", "sig"), work, "node long, rep long")
 
 
-def leaves(sets: DataFrame) -> DataFrame:
+def leaves(sets: DataFrame, percent: int) -> DataFrame:
     """(leaf, rep): every leaf of two classes and more, each of at most about LEAF classes."""
-    paths, out = written(split(sets, True), "paths"), None
+    paths, out = written(split(sets, True, percent), "paths"), None
     for level in range(LEVELS):
         sizes = paths.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         sized = paths.join(sizes, "node")
@@ -125,7 +131,7 @@ def leaves(sets: DataFrame) -> DataFrame:
         if not sizes.where(F.col("n") > LEAF).limit(1).count():
             return out
         if level < LEVELS - 1:
-            paths = written(split(large.join(sets, "rep"), False), "paths")
+            paths = written(split(large.join(sets, "rep"), False, percent), "paths")
     # what is still large: every pair of blocks of half a leaf is a leaf, so no pair is lost
     blocks = F.ceil(F.col("n") * 2 / LEAF).cast("int")
     large = large.select("node", "rep", blocks.alias("b")).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("b")).cast("int"))
@@ -133,13 +139,13 @@ def leaves(sets: DataFrame) -> DataFrame:
     return out.unionByName(pairs.select(F.xxhash64("node", F.least("c", "k"), F.greatest("c", "k")).alias("leaf"), "rep"))
 
 
-def candidates(leaf: int, sig: np.ndarray, own: list[list[int]]) -> list[tuple[int, int, int]]:
+def candidates(leaf: int, sig: np.ndarray, own: list[list[int]], least: int) -> list[tuple[int, int, int]]:
     """(agreement, i, j) of the pairs to confirm in this leaf, best first: signatures that
-    agree, and no smaller leaf that both are in."""
+    agree in ``least`` places, and no smaller leaf that both are in."""
     n, out = len(sig), []
     for a in range(0, n, 64):
         agree = (sig[a:a + 64, None, :] == sig[None, a:, :]).sum(axis=2, dtype=np.int16)
-        for i, j in zip(*np.nonzero(agree >= AGREE), strict=True):
+        for i, j in zip(*np.nonzero(agree >= least), strict=True):
             if j > i:
                 out.append((int(agree[i, j]), a + int(i), a + int(j)))
     if out:
@@ -154,7 +160,7 @@ def runs_of(rows: DataFrame) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), "leaf").sortWithinPartitions("leaf", "rep")
 
 
-def to_confirm(rows: DataFrame) -> DataFrame:
+def to_confirm(rows: DataFrame, percent: int) -> DataFrame:
     """(leaf, rep) of the classes with a candidate partner in a leaf."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[tuple[int, int]] = []
@@ -162,7 +168,7 @@ def to_confirm(rows: DataFrame) -> DataFrame:
             if t.num_rows > 1:
                 leaf = t.column("leaf")[0].as_py()
                 sig = sig_matrix(t.column("sig").combine_chunks(), "u1")
-                pairs = candidates(leaf, sig, t.column("leaves").to_pylist())
+                pairs = candidates(leaf, sig, t.column("leaves").to_pylist(), agreement(percent))
                 if pairs:
                     rep = t.column("rep").to_numpy()
                     got += [(leaf, int(rep[k])) for k in {k for _, i, j in pairs for k in (i, j)}]
@@ -177,18 +183,18 @@ def to_confirm(rows: DataFrame) -> DataFrame:
     return map_arrow(runs_of(rows.select("leaf", "rep", "sig", "leaves")), work, "leaf long, rep long")
 
 
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
-    """100 * intersection >= PERCENT * union for sorted distinct arrays."""
+def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
+    """100 * intersection >= percent * union for sorted distinct arrays."""
     if len(x) > len(y):
         x, y = y, x
-    if not len(x) or 100 * len(x) < PERCENT * len(y):
+    if not len(x) or 100 * len(x) < percent * len(y):
         return False
     at = np.minimum(np.searchsorted(y, x), len(y) - 1)
     both = int((y[at] == x).sum())
-    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def confirmed(rows: DataFrame) -> DataFrame:
+def confirmed(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): a forest of links among the rows of each leaf, confirmed on full sets."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[tuple[int, int]] = []
@@ -206,8 +212,8 @@ def confirmed(rows: DataFrame) -> DataFrame:
                     i = root[i]
                 return i
 
-            for _, i, j in candidates(t.column("leaf")[0].as_py(), sig, t.column("leaves").to_pylist()):
-                if top(i) != top(j) and similar(sets[i], sets[j]):
+            for _, i, j in candidates(t.column("leaf")[0].as_py(), sig, t.column("leaves").to_pylist(), agreement(percent)):
+                if top(i) != top(j) and similar(sets[i], sets[j], percent):
                     root[top(i)] = top(j)
                     got.append((int(rep[i]), int(rep[j])))
             if len(got) > 50_000:
@@ -221,7 +227,7 @@ def confirmed(rows: DataFrame) -> DataFrame:
     return map_arrow(runs_of(rows), work, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     sig = written(signatures(docs), "signatures")
     full = sig.where("n_shingles > 0 and doc_id is not null")
@@ -232,14 +238,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
              .select("a", "b"))
     sets = written(full.join(classes.select("f1", "f2", "n_shingles", "rep"), ["f1", "f2", "n_shingles"])
                    .where("doc_id = rep").select("rep", "sig").dropDuplicates(["rep"]), "sets")
-    own = (leaves(sets).groupBy("rep").agg(F.sort_array(F.collect_set("leaf")).alias("leaves")))  # some 2 x TREES each
+    own = (leaves(sets, percent).groupBy("rep").agg(F.sort_array(F.collect_set("leaf")).alias("leaves")))  # some 2 x TREES each
     low = map_arrow(sets, lambda bs: (pa.RecordBatch.from_arrays(
         [b.column("rep"), pa.array([r.tobytes() for r in (sig_matrix(b.column("sig")) & 255).astype(np.uint8)], pa.binary())],
         names=["rep", "sig"]) for b in bs), "rep long, sig binary")
     placed = written(own.join(low, "rep"), "leaves")
-    want = written(to_confirm(placed.select(F.explode("leaves").alias("leaf"), "rep", "sig", "leaves")), "to-confirm")
+    want = written(to_confirm(placed.select(F.explode("leaves").alias("leaf"), "rep", "sig", "leaves"), percent), "to-confirm")
     texts = only_ids(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep", want)
-    links = confirmed(want.join(placed, "rep").join(texts, "rep").select("leaf", "rep", "sig", "leaves", "text"))
+    links = confirmed(want.join(placed, "rep").join(texts, "rep").select("leaf", "rep", "sig", "leaves", "text"), percent)
     comp = components(links.unionByName(twice))
     of = (member.join(comp, member["rep"] == comp["id"], "left")
           .groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id")))
@@ -248,21 +254,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id."""
-    gone = written(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "gone")
+    kind = docs.schema["doc_id"].dataType
+    gone = written(near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").cast(kind)), "gone")
     return without_ids(docs, "doc_id", gone)
 
 
 ORACLE = r"""
 WITH RECURSIVE t AS (
-  SELECT doc_id, list_filter(regexp_extract_all(regexp_replace(coalesce(text, ''), '[A-Z]', '', 'g'), '$^'), x -> false) AS e,
+  SELECT doc_id,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                        '[^\x20\x09-\x0D]+') AS w
   FROM documents
 ), s AS (
   SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END) AS g FROM t
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS g FROM t
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
@@ -276,5 +283,3 @@ r(doc_id, c) AS (
 SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, t.doc_id = m.component_id AS kept
 FROM t LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
 """
-ORACLE = ORACLE.replace("""list_filter(regexp_extract_all(regexp_replace(coalesce(text, ''), '[A-Z]', '', 'g'), '$^'), x -> false) AS e,
-    """, "").replace("i ->", "lambda i:")

@@ -98,7 +98,8 @@ def test_decontaminate_against_brute_force(spark):
     assert kept == {d for d, _ in texts} - {d for d, _, _ in want}
 
 
-def test_near_duplicates_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, percent):
     rng = np.random.default_rng(4)
     base = [sample_words(rng, 80) for _ in range(3)]
     texts = []
@@ -111,7 +112,8 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     texts += [None, "", "  ", "one two", "One  TWO", "one two three four five", base[0], base[0]]
     rows = list(enumerate(texts, 10))
     monkeypatch.setattr(near_dedup, "LEAF", 16)            # so that large nodes and blocks are exercised
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+    found = near_dedup.near_duplicates(docs(spark, rows), percent).collect()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found}
     sets = {}
     for i, t in rows:
         w = (t or "").lower().split()
@@ -119,10 +121,10 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     comp = {i: i for i in sets}
     for _ in range(len(sets)):
         for a, b in itertools.combinations(sets, 2):
-            if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 comp[a] = comp[b] = min(comp[a], comp[b])
         if all(comp[a] == comp[b] for a, b in itertools.combinations(sets, 2)
-               if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])):
+               if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])):
             break
     assert got == {i: (len(sets[i]), comp[i], comp[i] == i) for i in sets}
 
