@@ -19,7 +19,7 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 PUNCT = SPACE.copy()  # separators when punctuation does not belong to words
 PUNCT[[c for c in range(128) if not chr(c).isalnum()]] = True
 _T = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-LONG, PIECE = 1 << 22, 1 << 20
+LONG, PIECE = 1 << 20, 1 << 19
 _pow: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -61,9 +62,24 @@ def ship(spark: SparkSession) -> None:
     sc._llm_shipped = True
 
 
+def release() -> None:
+    """Give freed memory back to the system: Spark keeps Python workers for later tasks, and
+    their allocators would keep the peak of every task so far."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with this package's code on the executors and workers left small."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        release()
+
+    return df.mapInArrow(task, schema)
 
 
 FILTER_WORDS = 1 << 17   # 64-bit words: an 8-million-bit filter, 1 MB
@@ -124,7 +140,7 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def byte_chunks(col: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def byte_chunks(col: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) runs of whole texts, about ``limit`` bytes each."""
     data, off = text_buffers(col)
     i, n = 0, len(col)
