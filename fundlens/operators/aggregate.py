@@ -53,6 +53,15 @@ def suppress_blank(df: DataFrame, col: str) -> DataFrame:
     return df.where(N.present(col))
 
 
+def dense_pairs(cells: DataFrame, row: str, col: str) -> DataFrame:
+    """``cells(row, col, ...)``, one row a pair, with the absent pairs of its values added (NULL
+    elsewhere). The values of ``col`` travel as one array, as short as a row of the matrix."""
+    every = cells.agg(F.collect_set(col)).scalar()
+    grid = (cells.select(row).distinct().withColumn("_all", every)
+            .select(row, F.explode("_all").alias(col)))
+    return grid.join(cells, [row, col], "left")
+
+
 def first_k_distinct(df: DataFrame, keys: Sequence[str], value: str, k: int,
                      order: str = "row_id", out: str = "values") -> DataFrame:
     """First k distinct non-null values per group, in order of first appearance.

@@ -108,15 +108,20 @@ def unique_recipients(projects: DataFrame) -> DataFrame:
 # --- D10 --------------------------------------------------------------------
 
 def classification_top(projects: DataFrame, k: int = 50) -> DataFrame:
-    """Classification code -> total, count, first non-null text in file order; top k."""
+    """Classification code -> total, count, first non-null text in file order; top k.
+
+    The aggregate carries the first row's number, which hashes; the k texts are fetched after.
+    """
     with_text = F.when(F.col("class_text").isNotNull(), F.col("row_id"))
     stats = (projects.where(F.col("class_code").isNotNull())
              .groupBy("class_code")
              .agg(N.money(F.sum("amount")).alias("total_funding"),
                   F.count("amount").alias("project_count"),
-                  F.min_by("class_text", with_text).alias("first_text")))
+                  F.min(with_text).alias("row_id")))
     top = A.suppress_blank(A.top_k(stats, k, "total_funding", ["class_code"]), "class_code")
-    return top.select(F.col("class_code").alias("code"),
+    texts = (projects.select("row_id", "class_code", F.col("class_text").alias("first_text"))
+             .join(F.broadcast(top.select("row_id", "class_code")), ["row_id", "class_code"]))
+    return top.join(texts.drop("row_id"), "class_code", "left").select(F.col("class_code").alias("code"),
                       N.text_or_code("first_text", "class_code").alias("description"),
                       "total_funding", "project_count")
 

@@ -31,11 +31,9 @@ def per_capita_ranking(projects: DataFrame, population: DataFrame | None = None,
 
 def decade_share_matrix(projects: DataFrame) -> DataFrame:
     """Decade x ministry share matrix, dense with 0 for absent pairs (K3)."""
-    share = TR.decade_ministry_share(projects)
-    wide = share.groupBy("decade").pivot("ministry").agg(F.first("share_pct"))
-    cols = [c for c in wide.columns if c != "decade"]
-    long = wide.unpivot(["decade"], [F.col(f"`{c}`") for c in cols], "ministry", "_s")
-    return long.select("decade", "ministry", F.coalesce("_s", F.lit(0.0)).alias("share_pct"))
+    share = TR.decade_ministry_share(projects).select("decade", "ministry", "share_pct")
+    return A.dense_pairs(share, "decade", "ministry").select(
+        "decade", "ministry", F.coalesce("share_pct", F.lit(0.0)).alias("share_pct"))
 
 
 def funding_type_share(projects: DataFrame) -> DataFrame:

@@ -29,19 +29,14 @@ def yearly_series(projects: DataFrame, series: list[str] | None = None) -> DataF
 
 
 def ministry_year_dense(projects: DataFrame) -> DataFrame:
-    """Year x ministry funding, dense: every (year, ministry) pair of the pivot, 0 if none.
+    """Year x ministry funding, dense: every (year, ministry) pair, 0 if none.
 
-    ``pivot`` aggregates (year, ministry) partially on the map side, then folds the
-    ministries of a year into one row; the distinct ministry list it needs is a small
-    separate job bounded by ``spark.sql.pivotMaxValues``. ``unpivot`` returns the long
-    form the marts use.
+    The grid is made from the small (year, ministry) aggregate, not from ``projects``.
     """
     base = projects.where(F.col("start_year").isNotNull() & F.col("ministry").isNotNull())
-    wide = base.groupBy(F.col("start_year").alias("year")).pivot("ministry").agg(F.sum("amount"))
-    ministries = [c for c in wide.columns if c != "year"]
-    long = wide.unpivot(["year"], [F.col(f"`{m}`") for m in ministries], "ministry", "_f")
-    return long.select("year", "ministry",
-                       N.money(F.coalesce(F.col("_f"), F.lit(0).cast("decimal(28,2)"))).alias("funding"))
+    cells = base.groupBy(F.col("start_year").alias("year"), "ministry").agg(F.sum("amount").alias("_f"))
+    return A.dense_pairs(cells, "year", "ministry").select(
+        "year", "ministry", N.money(F.coalesce(F.col("_f"), F.lit(0).cast("decimal(28,2)"))).alias("funding"))
 
 
 def monthly_distribution(projects: DataFrame) -> DataFrame:

@@ -41,13 +41,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and materialised tables.
 
     On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared filesystem
-    every executor can reach). Only when it is unset (local tests) do we take a fresh
-    scratch folder of our own.
+    every executor can reach), the same at each start. Only a local session without that
+    setting takes a fresh scratch folder of its own; elsewhere that is an error.
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) \
+        or sc.getCheckpointDir()
     if not d:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="fundlens-ckpt-", dir=os.environ.get("FUNDLENS_SCRATCH", "/tmp"))
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+    return d.rstrip("/")

@@ -109,6 +109,30 @@ def test_drop_folder_stream(spark, export, scratch):
     assert json.loads(open(docs[0], encoding="utf-8").read())["total_projects"] == 4
 
 
+def test_stream_rejects_another_layout_and_resumes(spark, export, scratch, monkeypatch):
+    import shutil
+    from fundlens.streaming import drop_folder
+    monkeypatch.setattr(R, "analyse_and_publish", lambda *a: [f"docs/{d}" for d in R.dims.EXPECTED_ARTIFACTS])
+    drop, out = os.path.join(scratch, "drop in"), os.path.join(scratch, "out")
+    os.makedirs(drop)
+    shutil.copy(export, os.path.join(drop, "export-1.csv"))
+
+    def run():
+        q = drop_folder.start(spark, drop, export, out, checkpoint=os.path.join(scratch, "progress"))
+        q.awaitTermination(300)
+
+    run()
+    run()                                       # nothing new: the first export is not run again
+    assert sorted(os.listdir(out)) == ["epoch=0"]
+    lines = open(export, "rb").read().split(b"\r\n")
+    head = lines[0].replace(b"Ressort", b"X").replace(b'"PT"', b'"Ressort"').replace(b"X", b"PT")
+    with open(os.path.join(drop, "export-2.csv"), "wb") as f:
+        f.write(b"\r\n".join([head, *lines[1:]]))
+    with pytest.raises(Exception, match="another column layout"):
+        run()
+    assert not os.path.exists(os.path.join(out, "epoch=1"))
+
+
 def test_published_checks_on_driver_tables(spark, scratch):
     from conftest import SF_SMALL
     from fundlens.plans.params import DRIVER_PARAMS

@@ -154,3 +154,11 @@ def test_first_k_bounds(spark, k):
     p = proj(spark, [{"joint_name": "J", "state": s} for s in "abcdef"])
     r = M.joint_top(p, 5, k).first()
     assert len(r.states_involved) == k
+
+
+def test_dense_grid_takes_any_name(spark):
+    from fundlens.operators import aggregate as A
+    cells = spark.createDataFrame([(2000, "a`b", 1), (2001, "year", 2)], "year int, ministry string, n int")
+    got = {(r.year, r.ministry, r.n) for r in A.dense_pairs(cells, "year", "ministry").collect()}
+    assert got == {(2000, "a`b", 1), (2000, "year", None), (2001, "a`b", None), (2001, "year", 2)}
+    assert A.dense_pairs(cells.limit(0), "year", "ministry").collect() == []
