@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundlens.llm.common import map_arrow, written
+from fundlens.llm.common import byte_chunks, map_arrow, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -32,10 +33,10 @@ SALTS = 64
 WORDS_KEPT = 1_000_000   # bound of a worker's table of known words; then it starts anew
 # every white-space character the tokenizer's own rule takes; str.split() has four more
 GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+ODD_SPACE = "[\x1c-\x1f]"
 MARK = "0"             # a digit is a piece, and an id, of its own
 TRAILING = ".,!?;:*$%&#|"
-TEXTS_AT_ONCE, CHARS_AT_ONCE = 256, 1_000_000
+BYTES_AT_ONCE = 1 << 22   # whole texts of about so many bytes are tokenised together
 _known: dict = {}      # by tokenizer file: (tokenizer, {word: ids as little-endian bytes})
 
 
@@ -58,15 +59,22 @@ class WordTokenizer:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, new: list[str]) -> None:
-        """Ids of new words. Trailing ASCII punctuation after a letter is a piece of its own, so
-        such words (Latin letters that stay one letter in lower case) are put together from their parts; the others are encoded many at a time,
-        between marks that are sure to be one id and in none of them."""
+        """Ids of new words. The tokenizer lower-cases and makes trailing ASCII punctuation after a
+        letter a piece of its own, so words of Latin letters (which stay one letter in lower case)
+        are put together from lower-case stem and tail; the others are encoded as they are. What is
+        left is encoded many at a time, between marks that are sure to be one id and in none of them."""
         words, whole, joined = self.words, {}, []
         for w in new:
-            stem = w.rstrip(TRAILING)
-            if stem != w and stem and stem[-1] < "\u0250" and stem[-1] != "\u0130" and stem[-1].isalpha() and "<|" not in w:
-                joined.append((w, stem, w[len(stem):]))
-                whole[stem] = whole[w[len(stem):]] = None
+            if (w.isascii() or max(w) < "\u0250" and "\u0130" not in w) and "<|" not in w:
+                stem = w.rstrip(TRAILING)
+                if not stem or not stem[-1].isalpha():
+                    stem = w
+                low, tail = stem.lower(), w[len(stem):]
+                if low != w:
+                    joined.append((w, low, tail))
+                    if tail:
+                        whole[tail] = None
+                whole[low] = None
             else:
                 whole[w] = None
         odd = [w for w in whole if w not in words and (MARK in w or "<|" in w)]
@@ -80,21 +88,34 @@ class WordTokenizer:
             raw = ids.tobytes()
             for w, a, b in zip(part, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)], strict=True):
                 words[w] = raw[4 * a:4 * b]
-        for w, stem, tail in joined:
-            words[w] = words[stem] + words[tail]
-
-    def split(self, text: str) -> list[str]:
-        return [w for w in GAP.split(text) if w] if ODD_SPACE.search(text) else text.split()
-
-    def ids_of(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, little-endian unsigned 32-bit."""
-        parts, words = [self.split(t) for t in texts], self.words
-        new = {w for p in parts for w in p if w not in words}
+        for w, low, tail in joined:
+            words[w] = words[low] + words[tail] if tail else words[low]
+
+    def split(self, texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+        """(n+1 word offsets, the words by dictionary) of n texts; a word may be empty."""
+        odd = pc.match_substring_regex(texts, ODD_SPACE)
+        if pc.any(odd).as_py():
+            parts = [GAP.split(t) for t in texts.to_pylist()]
+            at = np.cumsum([0, *map(len, parts)])
+            return at, pa.array([w for p in parts for w in p], pa.large_string()).dictionary_encode()
+        lists = pc.utf8_split_whitespace(texts)
+        return np.asarray(lists.offsets) - lists.offsets[0].as_py(), lists.flatten().dictionary_encode()
+
+    def ids_of(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (large_string, no nulls), little-endian unsigned 32-bit. Each
+        distinct word is looked up once; Arrow then puts its ids wherever it stands."""
+        at, coded = self.split(texts)
+        distinct, words = coded.dictionary.to_pylist(), self.words
+        new = [w for w in distinct if w and w not in words]
         if len(words) + len(new) > WORDS_KEPT:
             words.clear()
-            new = {w for p in parts for w in p}
-        self.learn(sorted(new))
-        return [b"".join([words[w] for w in p]) for p in parts]
+            new = [w for w in distinct if w]
+        words[""] = b""
+        self.learn(new)
+        ids = pa.array([words[w] for w in distinct], pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[:len(ids) + 1][at].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        return [bytes(data[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -106,19 +127,15 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         tok = WordTokenizer(public_tokenizers.path(path) if os.sep not in path else path)
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
-            rows, out, i = [], [], 0
-            while i < b.num_rows:
-                group, size = [], 0
-                while i + len(group) < b.num_rows and len(group) < TEXTS_AT_ONCE and size < CHARS_AT_ONCE:
-                    group.append(b.column("text")[i + len(group)].as_py() or "")
-                    size += len(group[-1])
-                for n, raw in enumerate(tok.ids_of(group)):
+            rows, out = [], []
+            texts = b.column("text").cast(pa.large_string()).fill_null("")
+            for i, j, _, _ in byte_chunks(texts, BYTES_AT_ONCE):
+                for n, raw in enumerate(tok.ids_of(texts.slice(i, j - i))):
                     raw += end
                     for k, a in enumerate(range(0, len(raw), 4 * capacity)):
                         part = raw[a:a + 4 * capacity]
                         rows.append(i + n)
                         out.append((k, a // 4, len(part) // 4, zlib.crc32(part)))
-                i += len(group)
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(cols[0], pa.int32()),
