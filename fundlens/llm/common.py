@@ -71,11 +71,25 @@ def release() -> None:
         trim(0)
 
 
+KEPT: dict[str, dict] = {}   # by module: what a worker keeps between tasks of that module
+
+
+def only_kept_by(owner: str) -> None:
+    """Let go of what tasks of other modules left in this worker."""
+    others = [m for m in KEPT if m != owner]
+    for m in others:
+        del KEPT[m]
+    if others:
+        release()
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
     """``mapInArrow`` with this package's code on the executors and workers left small."""
     ship(df.sparkSession)
+    owner = fn.__module__
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_kept_by(owner)
         yield from fn(batches)
         release()
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundlens.llm.common import byte_chunks, map_arrow, written
+from fundlens.llm.common import KEPT, byte_chunks, map_arrow, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -37,7 +37,6 @@ ODD_SPACE = "[\x1c-\x1f]"
 MARK = "0"             # a digit is a piece, and an id, of its own
 TRAILING = ".,!?;:*$%&#|"
 BYTES_AT_ONCE = 1 << 22   # whole texts of about so many bytes are tokenised together
-_known: dict = {}      # by tokenizer file: (tokenizer, {word: ids as little-endian bytes})
 
 
 class WordTokenizer:
@@ -49,10 +48,11 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path not in _known:
+        known = KEPT.setdefault(__name__, {})   # by tokenizer file: (tokenizer, {word: ids as little-endian bytes})
+        if path not in known:
             from tokenizers import Tokenizer
-            _known[path] = (Tokenizer.from_file(path), {})
-        self.tokenizer, self.words = _known[path]
+            known[path] = (Tokenizer.from_file(path), {})
+        self.tokenizer, self.words = known[path]
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
 
     def encode(self, text: str) -> bytes:
