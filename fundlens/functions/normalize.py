@@ -145,6 +145,44 @@ def german_number_text(c, decimals: int = 2) -> Column:
     return F.translate(F.format_number(col_(c).cast("double"), decimals), ",.", ".,")
 
 
+def thousands_text(c) -> Column:
+    """Number -> ``1,234``."""
+    return F.format_number(col_(c).cast("double"), 0)
+
+
+def percent_text(c, decimals: int = 2) -> Column:
+    """Percent value -> ``12.34%``."""
+    return F.format_string(f"%.{decimals}f%%", col_(c).cast("double"))
+
+
+def german_currency(c) -> Column:
+    """Amount -> ``1.234 €`` with a no-break space, whole euros."""
+    return F.concat(german_number_text(c, 0), F.lit("\u00a0€"))
+
+
+def german_compact_number(c) -> Column:
+    """Count -> its digits, grouped from five on; from a million on ``1,2 Mio.`` with a no-break space.
+
+    Two significant digits below ten units, none after the comma from there on.
+    """
+    v = col_(c).cast("double")
+
+    def short(unit, name):
+        q = v / unit
+        n = F.when(q < 9.95, F.regexp_replace(german_number_text(q, 1), ",0$", "")).otherwise(german_number_text(q, 0))
+        return F.concat(n, F.lit("\u00a0" + name))
+
+    return (F.when(v >= 999.5e9, short(1e12, "Bio.")).when(v >= 999.5e6, short(1e9, "Mrd."))
+            .when(v >= 999500, short(1e6, "Mio.")).when(v >= 9999.5, german_number_text(v, 0))
+            .otherwise(F.format_string("%.0f", v)))
+
+
+def cut_text(c, n: int, missing: str = "N/A") -> Column:
+    """The first n characters, ``missing`` for NULL or empty text."""
+    c = col_(c)
+    return F.when(F.coalesce(F.length(c), F.lit(0)) == 0, F.lit(missing)).otherwise(F.substring(c, 1, n))
+
+
 def compact_currency(c) -> Column:
     """``€1.2B``-style compact text: T/B/M with one decimal, K and below without; negative
     amounts are not abbreviated (H15)."""

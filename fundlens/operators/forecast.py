@@ -125,20 +125,20 @@ def forecast_summary(projects: DataFrame, p: Params) -> DataFrame:
                     F.lit(p.horizon).alias("forecast_horizon_years"))
 
 
-def history_forecast_series(projects: DataFrame, p: Params) -> DataFrame:
-    """History and forecast on one year axis, joined at the last historical point.
+def history_forecast_series(projects: DataFrame, p: Params, span: int = 10) -> DataFrame:
+    """Recent history and forecast on one year axis.
 
-    Output: year, actual, predicted, lower_bound, upper_bound — history rows carry
-    ``actual``; forecast rows carry the prediction; the last historical year carries both
-    (its predicted value equals the actual so the two lines meet).
+    Output: year, actual, predicted, lower_bound, upper_bound, approved_funding. History rows
+    (``current_year - span`` to ``current_year``) carry ``actual``; forecast rows carry the
+    prediction and what is approved already (NULL if nothing). The last historical year there
+    is carries both, its prediction equal to the actual, so the two lines meet.
     """
     hist = trends.yearly_series(projects).where(
-        (F.col("year") >= p.train_from) & (F.col("year") <= p.current_year)).select(
+        (F.col("year") >= p.current_year - span) & (F.col("year") <= p.current_year)).select(
         "year", F.col("funding").alias("actual"))
+    meets = F.when(F.col("year") == hist.agg(F.max("year")).scalar(), F.col("actual"))
+    hist = hist.select("year", "actual", *[meets.alias(c) for c in ("predicted", "lower_bound", "upper_bound")])
+    approved = F.when(F.col("approved_funding") != 0, F.col("approved_funding"))
     fc = trend_forecast(projects, p).select("year", F.col("predicted_funding").alias("predicted"),
-                                            "lower_bound", "upper_bound")
-    last = hist.where(F.col("year") == p.current_year).select(
-        "year", "actual", F.col("actual").alias("predicted"),
-        F.col("actual").alias("lower_bound"), F.col("actual").alias("upper_bound"))
-    older = hist.where(F.col("year") < p.current_year)
-    return older.unionByName(last, allowMissingColumns=True).unionByName(fc, allowMissingColumns=True)
+                                            "lower_bound", "upper_bound", approved.alias("approved_funding"))
+    return hist.unionByName(fc, allowMissingColumns=True)

@@ -72,10 +72,10 @@ def keyword_cloud(projects: DataFrame, k_words: int = 100, k_cloud: int = 50, k_
     """Top words with a size class by count / max count and a has-series flag."""
     top = A.top_k(word_counts(projects), k_words, "count", ["word"]).limit(k_cloud)
     mx = top.agg(F.max("count")).scalar()
-    trends = top_words(projects, k_trends).select(F.col("word").alias("_tw"))
+    trends = keyword_trends(projects, k_trends).select(F.col("keyword").alias("_tw")).distinct()
     r = F.col("count") / mx
     size = (F.when(r > 0.7, F.lit("xl")).when(r > 0.4, F.lit("lg"))
             .when(r > 0.2, F.lit("md")).otherwise(F.lit("sm")))
-    return (top.join(F.broadcast(trends), F.col("word") == F.col("_tw"), "left")
+    return (top.join(F.broadcast(trends), N.capitalize("word") == F.col("_tw"), "left")   # at most k_trends words
             .select(N.capitalize("word").alias("word"), "count", size.alias("size_class"),
                     F.col("_tw").isNotNull().alias("has_trend")))

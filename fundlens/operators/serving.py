@@ -59,16 +59,20 @@ def entity_drilldown(projects: DataFrame, k_states: int = 20, k_cities: int = 30
                   [df.select(F.lit(t).alias("entity_type"), "*") for t, df in parts])
 
 
-def recipient_table(projects: DataFrame, sort_by: str = "funding", k: int = 20) -> DataFrame:
-    """Top k recipients by funding or by count with rank, truncated name, average (K9)."""
+def recipient_table(projects: DataFrame, sort_by: str = "funding", k: int = 20, k_trends: int = 50) -> DataFrame:
+    """Top k recipients by funding or by count with rank, truncated name, average and whether
+    the drill-down of the ``k_trends`` best funded holds a series of theirs (K9, C14)."""
     base = M.recipients_top_funding(projects, 50) if sort_by == "funding" else \
         M.recipients_top_count(projects, 50).withColumn("avg_funding", F.lit(None).cast("double"))
     order = "total_funding" if sort_by == "funding" else "project_count"
     top = A.top_k(base, k, order, ["name"])
     w = Window.orderBy(F.col(order).desc(), "name")  # over at most k rows
     avg = F.coalesce(F.col("avg_funding"), N.safe_ratio("total_funding", "project_count"))
-    return top.select(F.row_number().over(w).alias("rank"), N.truncate_label("name", 50).alias("label"),
-                      "name", "total_funding", "project_count", avg.alias("avg_funding"))
+    series = TR.entity_trends(projects, "recipient", k_trends).select(F.col("name").alias("_tn")).distinct()
+    return (top.join(F.broadcast(series), F.col("name") == F.col("_tn"), "left")   # at most k_trends names
+            .select(F.row_number().over(w).alias("rank"), N.truncate_label("name", 50).alias("label"),
+                    "name", "total_funding", "project_count", avg.alias("avg_funding"),
+                    F.col("_tn").isNotNull().alias("has_trend")))
 
 
 def international_top(projects: DataFrame, k: int = 15) -> DataFrame:
@@ -81,4 +85,6 @@ def display_formats(projects: DataFrame, k: int = 10) -> DataFrame:
     m = A.top_k(M.ministry_funding(projects), k, "total_funding", ["code"])
     return m.select("code", N.compact_currency("total_funding").alias("compact"),
                     N.german_number_text("total_funding").alias("german"),
-                    N.german_number_text("project_count", 0).alias("projects_text"))
+                    N.german_number_text("project_count", 0).alias("projects_text"),
+                    N.german_currency("total_funding").alias("currency"),
+                    N.german_compact_number("project_count").alias("projects_compact"))

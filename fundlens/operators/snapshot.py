@@ -34,17 +34,23 @@ def diff_summary(old: DataFrame, new: DataFrame, key: str = "fkz") -> DataFrame:
     placement: ``appended`` if the last added row is the file's last row, ``prepended`` if
     the first added row is the file's first row, else ``scattered``.
     """
-    o = old.agg(F.count(F.lit(1)).alias("old_rows"), F.countDistinct(key).alias("old_unique"))
-    n = new.agg(F.count(F.lit(1)).alias("new_rows"), F.countDistinct(key).alias("new_unique"),
-                F.min("row_id").alias("_first"), F.max("row_id").alias("_last"))
-    a = added(old, new, key).agg(F.count(F.lit(1)).alias("added"), F.min("row_id").alias("added_min_pos"),
-                                 F.max("row_id").alias("added_max_pos"))
-    r = removed(old, new, key).agg(F.count(F.lit(1)).alias("removed"))
-    s = n.select("*", o.select("old_rows").scalar().alias("old_rows"),
-                 o.select("old_unique").scalar().alias("old_unique"),
-                 a.select("added").scalar().alias("added"), a.select("added_min_pos").scalar().alias("added_min_pos"),
-                 a.select("added_max_pos").scalar().alias("added_max_pos"),
-                 r.select("removed").scalar().alias("removed"))
+    def by_key(df: DataFrame, side: str) -> DataFrame:
+        return df.groupBy(key).agg(F.count(F.lit(1)).alias(f"{side}_n"), F.min("row_id").alias(f"{side}_lo"),
+                                   F.max("row_id").alias(f"{side}_hi"))
+
+    # rows without a key form a group of their own, which joins nothing and is neither added nor removed
+    j = by_key(old, "o").join(by_key(new, "n"), key, "full_outer")
+    keyed, in_old, in_new = F.col(key).isNotNull(), F.col("o_n").isNotNull(), F.col("n_n").isNotNull()
+    new_key, gone = keyed & in_new & ~in_old, keyed & in_old & ~in_new
+
+    def rows(n, cond=F.lit(True)):
+        return F.coalesce(F.sum(F.when(cond, F.col(n))), F.lit(0))
+
+    s = j.agg(rows("o_n").alias("old_rows"), rows("n_n").alias("new_rows"),
+              F.count_if(keyed & in_old).alias("old_unique"), F.count_if(keyed & in_new).alias("new_unique"),
+              F.min("n_lo").alias("_first"), F.max("n_hi").alias("_last"),
+              rows("n_n", new_key).alias("added"), F.min(F.when(new_key, F.col("n_lo"))).alias("added_min_pos"),
+              F.max(F.when(new_key, F.col("n_hi"))).alias("added_max_pos"), rows("o_n", gone).alias("removed"))
     placement = (F.when(F.col("added") == 0, F.lit("none"))
                  .when(F.col("added_max_pos") == F.col("_last"), F.lit("appended"))
                  .when(F.col("added_min_pos") == F.col("_first"), F.lit("prepended"))

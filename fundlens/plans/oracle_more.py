@@ -309,11 +309,16 @@ SELECT round(sum(CASE WHEN year <= {P.current_year + 5} THEN pf END), 2) AS tota
 FROM fc
 """)
 
-oracle("history_forecast_series", with_projects(YEARLY, *fit_ctes()) + f"""
-SELECT year, funding AS actual, NULL::DOUBLE AS predicted, NULL::DOUBLE AS lower_bound, NULL::DOUBLE AS upper_bound
-FROM yearly WHERE year >= {P.train_from} AND year < {P.current_year}
-UNION ALL
-SELECT year, funding, round(funding, 2), round(funding, 2), round(funding, 2) FROM yearly WHERE year = {P.current_year}
+oracle("history_forecast_series", with_projects(YEARLY, *fit_ctes(), f"""hist AS (
+  SELECT year, funding FROM yearly WHERE year >= {P.current_year - 10} AND year <= {P.current_year}
+)""") + f"""
+SELECT year, funding AS actual,
+       CASE WHEN year = (SELECT max(year) FROM hist) THEN round(funding, 2) END AS predicted,
+       CASE WHEN year = (SELECT max(year) FROM hist) THEN round(funding, 2) END AS lower_bound,
+       CASE WHEN year = (SELECT max(year) FROM hist) THEN round(funding, 2) END AS upper_bound,
+       NULL::DOUBLE AS approved_funding
+FROM hist
 UNION ALL
-SELECT year, NULL::DOUBLE, {FORECAST_SELECT.replace(' AS predicted_funding', '')} FROM pred
+SELECT p.year, NULL::DOUBLE, {FORECAST_SELECT.replace(' AS predicted_funding', '')}, nullif(a.funding, 0)
+FROM pred p LEFT JOIN yearly a ON a.year = p.year AND a.year > {P.current_year}
 """)

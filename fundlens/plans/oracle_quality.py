@@ -143,6 +143,32 @@ SELECT coalesce(a.rank, b.rank) AS rank, key_a, key_b, coalesce(key_a = key_b, f
 FROM a FULL OUTER JOIN b ON a.rank = b.rank
 """)
 
+oracle("sponsor_amount_check", with_projects("""s AS (
+  SELECT CAST(sum(amount) AS DOUBLE) AS t, sponsor FROM projects GROUP BY sponsor
+)""", f"""a AS (SELECT t AS published, row_number() OVER (ORDER BY t DESC, sponsor) AS rank FROM (
+  SELECT * FROM (SELECT * FROM s WHERE sponsor IS NOT NULL ORDER BY t DESC, sponsor LIMIT 20) x
+  WHERE {present('sponsor')} AND trim(sponsor) <> '' ORDER BY t DESC, sponsor LIMIT 3) y)""",
+    """b AS (SELECT t AS source, row_number() OVER (ORDER BY t DESC, sponsor NULLS FIRST) AS rank
+  FROM (SELECT * FROM s ORDER BY t DESC, sponsor NULLS FIRST LIMIT 3) y)""") + """
+SELECT coalesce(a.rank, b.rank) AS rank, published, source,
+       coalesce(CASE WHEN source = 0 THEN published = 0 ELSE abs(published - source) / abs(source) * 100.0 < 0.01 END, false) AS passed
+FROM a FULL OUTER JOIN b ON a.rank = b.rank
+""")
+
+oracle("unparsable_dates", """
+SELECT CASE WHEN trim(d) = '' THEN '' ELSE d END AS value, count(*) AS rows FROM (
+  SELECT CASE WHEN o_orderstatus = 'P' THEN strftime(o_orderdate, '%m.%Y')
+              WHEN o_orderpriority = '5-LOW' THEN '  ' ELSE strftime(o_orderdate, '%d.%m.%Y') END AS d FROM orders) r
+WHERE len(string_split(d, '.')) <> 3 GROUP BY 1 ORDER BY 1 LIMIT 10
+""")
+
+oracle("country_shares_text", with_projects() + """
+SELECT CASE WHEN coalesce(country, '') = '' THEN 'N/A' ELSE substr(country, 1, 5) END AS label, country,
+       format('{:,}', count(*)) AS projects_text,
+       printf('%.2f%%', count(*) * 100.0 / (SELECT count(*) FROM projects)) AS share_text
+FROM projects GROUP BY country
+""")
+
 oracle("schema_profile", with_projects() + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS \"column\", count({c}) AS non_null, count(DISTINCT {c}) AS \"distinct\" FROM projects"
     for c in AUDIT_COLUMNS))
@@ -219,15 +245,24 @@ oracle("entity_drilldown", "\nUNION ALL\n".join(
     f"SELECT '{t}' AS entity_type, * FROM (\n{entity_sql(e, k)}) {t}_q"
     for t, e, k in [("state", "state", 20), ("city", "city", 30), ("recipient", "recipient", 50)]))
 
-oracle("recipient_table", with_projects(f"""r AS (
+def _recipient_table(order: str) -> str:
+    return with_projects(f"""r AS (
   SELECT recipient AS name, {STATS} FROM projects WHERE recipient IS NOT NULL
-  GROUP BY recipient ORDER BY total_funding DESC, recipient LIMIT 20
-)""") + """
-SELECT row_number() OVER (ORDER BY total_funding DESC, name) AS rank,
+  GROUP BY recipient ORDER BY {order} DESC, recipient LIMIT 20
+)""", """tr AS (
+  SELECT recipient FROM (SELECT recipient, sum(amount) AS t, count(start_year) AS y FROM projects WHERE recipient IS NOT NULL
+                         GROUP BY recipient ORDER BY t DESC, recipient LIMIT 50) q WHERE y > 0
+)""") + f"""
+SELECT row_number() OVER (ORDER BY {order} DESC, name) AS rank,
        CASE WHEN length(name) > 50 THEN substr(name, 1, 50) || '...' ELSE name END AS label,
-       name, total_funding, project_count, coalesce(avg_funding, total_funding / nullif(CAST(project_count AS DOUBLE), 0)) AS avg_funding
+       name, total_funding, project_count, coalesce(avg_funding, total_funding / nullif(CAST(project_count AS DOUBLE), 0)) AS avg_funding,
+       name IN (SELECT recipient FROM tr) AS has_trend
 FROM r
-""")
+"""
+
+
+oracle("recipient_table", _recipient_table("total_funding"))
+oracle("recipient_table_count", _recipient_table("project_count"))
 
 oracle("international_top", with_projects() + f"""
 SELECT country AS name, {STATS_NO_AVG} FROM projects
@@ -250,7 +285,11 @@ oracle("display_formats", with_projects(f"""m AS (
 )""") + f"""
 SELECT code, {_compact('total_funding')} AS compact,
        translate(format('{{:,.2f}}', total_funding), ',.', '.,') AS german,
-       translate(format('{{:,.0f}}', CAST(project_count AS DOUBLE)), ',.', '.,') AS projects_text
+       translate(format('{{:,.0f}}', CAST(project_count AS DOUBLE)), ',.', '.,') AS projects_text,
+       translate(format('{{:,.0f}}', total_funding), ',.', '.,') || chr(160) || '€' AS currency,
+       CASE WHEN project_count < 10000 THEN CAST(project_count AS VARCHAR)
+            WHEN project_count < 999500 THEN translate(format('{{:,.0f}}', CAST(project_count AS DOUBLE)), ',.', '.,')
+            ELSE translate(format('{{:.1f}}', project_count / 1e6), '.', ',') || chr(160) || 'Mio.' END AS projects_compact
 FROM m
 """)
 

@@ -90,6 +90,33 @@ def q_sponsor_rank_check(spark, sf):
     return Q.rank_aligned(M.sponsor_top(p, 20), source, "total_funding", "funding", "code", "sponsor", 3)
 
 
+@query("sponsor_amount_check")
+def q_sponsor_amount_check(spark, sf):
+    p = projects(spark, sf)
+    source = p.groupBy("sponsor").agg(F.sum("amount").cast("double").alias("funding"))
+    return Q.rank_amounts(M.sponsor_top(p, 20), source, "total_funding", "funding", "code", "sponsor", 3)
+
+
+@query("unparsable_dates")
+def q_unparsable_dates(spark, sf):
+    """Every order's date as text, those of some statuses and priorities written badly, audited."""
+    o = tables.table(spark, sf, "orders")
+    d = N.german_date_text("o_orderdate")
+    raw = (F.when(F.col("o_orderstatus") == "P", F.substring(d, 4, 7))
+           .when(F.col("o_orderpriority") == "5-LOW", F.lit("  ")).otherwise(d))
+    return Q.unparsable_dates(o.select(raw.alias("raw_date")), "raw_date", 10)
+
+
+@query("country_shares_text")
+def q_country_shares_text(spark, sf):
+    """Countries with grouped counts and percent text, names cut for a list."""
+    p = projects(spark, sf)
+    total = p.agg(F.count(F.lit(1))).scalar()
+    c = p.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
+    return c.select(N.cut_text("country", 5).alias("label"), "country", N.thousands_text("n").alias("projects_text"),
+                    N.percent_text(F.col("n") * 100.0 / total).alias("share_text"))
+
+
 @query("schema_profile")
 def q_schema_profile(spark, sf):
     return Q.schema_profile(projects(spark, sf), Q.AUDIT_COLUMNS).select("column", "non_null", "distinct")
@@ -160,6 +187,11 @@ def q_recipient_table(spark, sf):
     return SV.recipient_table(projects(spark, sf), "funding", 20)
 
 
+@query("recipient_table_count")
+def q_recipient_table_count(spark, sf):
+    return SV.recipient_table(projects(spark, sf), "count", 20)
+
+
 @query("international_top")
 def q_international_top(spark, sf):
     return SV.international_top(projects(spark, sf), 15)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fundlens.operators import aggregate as A
 from fundlens.operators import duration as D
+from fundlens.functions import normalize as N
 from fundlens.operators import forecast as FC
 from fundlens.operators import marts as M
 from fundlens.operators import snapshot as SN
@@ -162,3 +163,21 @@ def test_dense_grid_takes_any_name(spark):
     got = {(r.year, r.ministry, r.n) for r in A.dense_pairs(cells, "year", "ministry").collect()}
     assert got == {(2000, "a`b", 1), (2000, "year", None), (2001, "a`b", None), (2001, "year", 2)}
     assert A.dense_pairs(cells.limit(0), "year", "ministry").collect() == []
+
+
+def test_compact_numbers_and_cut_text(spark):
+    df = spark.createDataFrame([(999, "abc"), (1234, ""), (12345, None), (1250000, "abcdefgh"), (12500000000, "x")], "v long, t string")
+    rows = df.select(N.german_compact_number("v"), N.german_currency("v"), N.cut_text("t", 3)).collect()
+    assert [r[0] for r in rows][:3] == ["999", "1234", "12.345"]
+    assert [r[0] for r in rows][4] == "12\u00a0Mrd." or [r[0] for r in rows][4] == "13\u00a0Mrd."
+    assert rows[1][1] == "1.234\u00a0€" and [r[2] for r in rows] == ["abc", "N/A", "N/A", "abc", "x"]
+
+
+def test_snapshot_without_keys_and_repeats(spark):
+    old = spark.createDataFrame([("a", 1), (None, 2), ("b", 3), ("b", 4)], "fkz string, row_id long")
+    new = spark.createDataFrame([("a", 1), (None, 2), (None, 3), ("c", 4), ("c", 5)], "fkz string, row_id long")
+    s = SN.diff_summary(old, new).first()
+    assert (s.old_rows, s.new_rows, s.old_unique, s.new_unique) == (4, 5, 2, 2)
+    assert (s.added, s.removed, s.added_min_pos, s.added_max_pos, s.placement) == (2, 2, 4, 5, "appended")
+    none = SN.diff_summary(old.limit(0), new.limit(0)).first()
+    assert (none.old_rows, none.new_rows, none.added, none.removed) == (0, 0, 0, 0)
