@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,3 +280,20 @@ def test_sql(spark, name):
     want = sorted(tuple(dict(zip([x[0] for x in cur.description], r))[c] for c in cols) for r in cur.fetchall())
     got = queries.queries()[name](spark, "/root/testdata/sf0.001")
     assert sorted(got.columns) == cols and sorted(tuple(r[c] for c in cols) for r in got.collect()) == want
+
+
+def test_word_ids_equal_the_tokenizers():
+    import random
+    import public_tokenizers
+    from fundlens.llm import common
+    tok = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    rnd = random.Random(3)
+    texts = ["", "  ", " a  b ", "x\x1cy z\x1f", "Straße ÉCOLE! İstanbul 00 a0b 0", "<|endoftext|> a<|startoftext|>b", "ΣΑΣ.",
+             "don't I'LL 's!", "école É!", "漢字 テスト。", "a　b c\x85d", "!!! a!! !a", "ß ẞ Å.", "a\x00b \x0bq\x0c"]
+    texts += ["".join(rnd.choices("aBc0É!.'<|>ß \x85\x1c$sT", k=rnd.randint(0, 25))) for _ in range(500)]
+    for part in (texts[:3], texts[3:20], texts[20:]):
+        assert tok.ids_of(pa.array(part, pa.large_string())) == [tok.encode(t) for t in part]
+    common.only_kept_by(packing.__name__)
+    assert packing.__name__ in common.KEPT
+    common.only_kept_by("another")
+    assert not common.KEPT
