@@ -173,6 +173,24 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeats(docs(spark, [])).count() == 0
 
 
+def test_two_passages_of_a_pair(spark):
+    rng = np.random.default_rng(61)
+    texts, want, n = [], {}, 0
+    for first, apart, second in [(300, 60, 100), (300, 49, 60), (1000, 60, 300), (300, 400, 60), (150, 60, 60), (60, 30, 60)]:
+        p, q = ([f"p{n}x{i}" for i in rng.permutation(k)] for k in (first, second))
+        q = ["q" + w for w in q]
+        for d in (0, 1):
+            gap = [f"g{n}x{d}x{i}" for i in range(apart)]
+            texts.append((n + d, " ".join(p + gap + q)))
+        want[n + 1] = [(0, first), (first + apart, first + apart + second)]
+        n += 10
+    got = substring_dedup.repeats(docs(spark, texts)).collect()
+    for doc, spans in want.items():
+        hit = {w for r in got if r["doc_id"] == doc for w in range(r["start_word"], r["end_word"])}
+        for s, e in spans:
+            assert hit >= set(range(s, e)), (doc, s, e)
+
+
 def test_chain_and_distance():
     x, y = np.array([0, 6, 12, 18, 300]), np.array([50, 56, 62, 68, 2])
     assert [len(c) for c in substring_dedup.chains(x, y)] == [4, 1]
