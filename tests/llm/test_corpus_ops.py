@@ -191,6 +191,38 @@ def test_two_passages_of_a_pair(spark):
             assert hit >= set(range(s, e)), (doc, s, e)
 
 
+def test_passage_whose_parts_stand_elsewhere(spark):
+    rng = np.random.default_rng(62)
+    p = [f"p{i}" for i in range(60)]
+    own = iter(range(10**6))
+    pad = lambda n: [f"o{next(own)}" for _ in range(n)]
+    parts = [p[:30], p[30:], p, p[:30], p[30:], p]
+    texts = [(d + 1, " ".join(pad(int(rng.integers(5, 40))) + q + pad(30))) for d, q in enumerate(parts)]
+    got = [r for r in substring_dedup.repeats(docs(spark, texts)).collect() if r["doc_id"] == 6]
+    at = texts[5][1].split().index("p0")
+    assert any(r["start_word"] <= at and r["end_word"] >= at + 60 and r["match_doc_id"] == 3 for r in got)
+    # a seed twice in one document: both places meet the previous other document
+    table = spark.createDataFrame([(1, 1, 0), (1, 2, 5), (1, 3, 0), (1, 3, 9)], "h long, doc long, pos int")
+    got = {tuple(r) for r in substring_dedup.matches(table).collect()}
+    assert got == {(2, 5, 1, 0), (3, 0, 1, 0), (3, 0, 2, 5), (3, 9, 1, 0), (3, 9, 2, 5)}
+
+
+def test_every_exact_repeat_is_covered(spark):
+    rng = np.random.default_rng(63)
+    lines = [[f"l{k}x{i}" for i in range(int(rng.integers(8, 40)))] for k in range(12)]      # frequent lines
+    texts = [[w for k in rng.integers(0, 12, 12).tolist() for w in lines[k]] for _ in range(60)]
+    first: dict[tuple, int] = {}
+    got = substring_dedup.repeats(docs(spark, [(d, " ".join(t)) for d, t in enumerate(texts)])).collect()
+    spans = [[(r["start_word"], r["end_word"]) for r in got if r["doc_id"] == d] for d in range(60)]
+    n = 0
+    for d, t in enumerate(texts):
+        for i in range(len(t) - 49):
+            if first.setdefault(tuple(t[i:i + 50]), d) < d:
+                n += 1
+                assert any(s <= i and e >= i + 50 for s, e in spans[d]), (d, i)
+    assert n > 100
+
+
 def test_chain_and_distance():
     x, y = np.array([0, 6, 12, 18, 300]), np.array([50, 56, 62, 68, 2])
     assert [len(c) for c in substring_dedup.chains(x, y)] == [4, 1]
