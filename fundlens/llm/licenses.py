@@ -1,7 +1,8 @@
 """Licence recognition by sentence rules, DataFrame functions only.
 
-A text is cut into sentences, each sentence normalised (lower case, every run of other
-characters than a-z 0-9 one space) and mapped to the identifier of a known licence sentence.
+A text is normalised (lower case, every run of other characters than a-z 0-9 one space) and the
+known licence sentences are looked up in it as whole words, wherever lines, comment signs or other
+sentences break them; of sentences that begin at one place the longest counts.
 The identifiers of a row, in order and without the unknown sentences between them, are
 matched against ordered licence rules; what an earlier rule took is not seen by later ones.
 
@@ -41,6 +42,31 @@ SENTENCES = {
     "GplHope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
     "CcByNc4Notice": "Licensed under CC BY-NC 4.0",
     "CcBy4Notice": "Licensed under CC BY 4.0",
+    "AllRights": "All rights reserved",
+    "MitLicensed": "Licensed under the MIT License",
+    "GplFree2": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+                "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+                "option) any later version",
+    "GplOnly2": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+                "Public License version 2 as published by the Free Software Foundation",
+    "LgplFree21": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+                  "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any "
+                  "later version",
+    "LgplFree3": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+                 "published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+                 "later version",
+    "AgplFree3": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+                 "published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+                 "later version",
+    "MplForm": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "IscGrant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+                "hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "IscGrantOld": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is "
+                   "hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "UnlicenseFree": "This is free and unencumbered software released into the public domain",
+    "BslNotice": "Distributed under the Boost Software License, Version 1.0",
+    "BsdNames": "nor the names of its contributors may be used to endorse or promote products derived from this software "
+                "without specific prior written permission",
     "BsdGrant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
                 "that the following conditions are met:",
     "BsdSource": "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
@@ -60,6 +86,19 @@ RULES = [
     ("GPL-3.0-only", ["Gpl3Notice"]),
     ("CC-BY-NC-4.0", ["CcByNc4Notice"]),
     ("CC-BY-4.0", ["CcBy4Notice"]),
+    ("MIT", ["MitLicensed"]),
+    ("GPL-2.0-or-later", ["GplFree2"]),
+    ("GPL-2.0-only", ["GplOnly2"]),
+    ("LGPL-2.1-or-later", ["LgplFree21"]),
+    ("LGPL-3.0-or-later", ["LgplFree3"]),
+    ("AGPL-3.0-or-later", ["AgplFree3"]),
+    ("MPL-2.0", ["MplForm"]),
+    ("ISC", ["IscGrant"]),
+    ("ISC", ["IscGrantOld"]),
+    ("Unlicense", ["UnlicenseFree"]),
+    ("BSL-1.0", ["BslNotice"]),
+    ("LicenseRef-all-rights-reserved", ["AllRights"]),
+    ("BSD-3-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdNames"]),
     ("BSD-2-Clause", ["BsdGrant", "BsdSource", "BsdBinary"]),
 ]
 
@@ -78,12 +117,18 @@ def normalised(sentence: Column) -> Column:
 
 def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """Array of the identifiers of the known sentences of ``text``, in order."""
-    lengths = sorted({len(normal(s)) for s in sentences.values()})
     known = F.create_map(*[F.lit(x) for k, s in sentences.items() for x in (normal(s), k)])
-    # a sentence shorter than the shortest known one cannot be known: skip its normalisation
-    parts = F.filter(F.split(text, BREAK), lambda s: F.length(s) >= lengths[0])
-    ids = F.transform(parts, lambda s: F.element_at(known, normalised(s)))
-    return F.filter(ids, lambda i: i.isNotNull())
+    ordered = sorted({normal(s) for s in sentences.values()}, key=lambda s: (-len(s), s))
+    found = F.regexp_extract_all(normalised(text), F.lit(r"\b(" + "|".join(ordered) + r")\b"), F.lit(1))
+    # each sentence has one of these words: rows with none are not searched
+    marks = "|".join(sorted({marked(s) for s in ordered}))
+    return F.when(F.lower(text).rlike(marks), F.transform(found, lambda s: F.element_at(known, s)))
+
+
+def marked(sentence: str) -> str:
+    """A telling word of a normalised sentence, or its longest word."""
+    return next((w for w in ("license", "reserved", "permission", "redistribution", "warranty", "software",
+                             "permitted") if w in sentence), max(sentence.split(), key=len))
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", sentences: dict[str, str] = SENTENCES,

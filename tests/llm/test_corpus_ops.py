@@ -282,6 +282,50 @@ def test_hmm_likelihood_is_exact():
         assert abs(got - want - math.log10(v.sum())) < 1e-6
 
 
+def test_license_wrapped_headers_and_all_document_lines(spark):
+    apache = """/*
+ * Copyright 2015 Someone
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */"""
+    gpl = """# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation; either version 2 of the License, or
+# (at your option) any later version."""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""
+    texts = [(1, apache), (2, gpl), (3, bsd), (4, "Some line.\nAll rights reserved.\nmore"), (5, bsd.split("3. ")[0]),
+             (6, "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy"),
+             (7, "all rights were reserved by none")]
+    got = {(r["doc_id"], r["license"], r["n_matches"]) for r in licenses.scan(docs(spark, texts)).collect()}
+    assert got == {(1, "Apache-2.0", 1), (2, "GPL-2.0-or-later", 1), (3, "BSD-3-Clause", 1),
+                   (4, "LicenseRef-all-rights-reserved", 1), (5, "BSD-2-Clause", 1), (6, "MPL-2.0", 1)}
+    for s in licenses.SENTENCES.values():
+        assert licenses.marked(licenses.normal(s)) in licenses.normal(s)
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    lines = d.where(F.col("text").rlike("(?m)^All rights reserved\\.?$")).select("doc_id").distinct().count()
+    found = licenses.scan(d).where("license = 'LicenseRef-all-rights-reserved'").select("doc_id").distinct().count()
+    assert found >= lines > 0
+
+
 def test_license_rules(spark):
     full = " ".join(licenses.SENTENCES[k] + "." for k in ("ApacheNotice", "ApacheUse", "ApacheCopy", "ApacheAsIs", "ApacheLimits"))
     texts = [(1, "x\n" + full + "\ny"), (2, "LICENSED under the  Apache License, Version 2.0.\nReleased under the MIT License."),
