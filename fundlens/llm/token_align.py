@@ -7,20 +7,21 @@ sequences into groups. A text whose tokens do not give back its bytes on either
 
 How many documents hold an id pair linked is counted with a minimal perfect hash:
 
-1. the distinct pairs of all documents; cut into parts of whole A ids of at most ``PAIRS`` pairs;
+1. a first pass aligns all documents and writes which pairs each holds, some hundred documents a row
+   (the pairs and how many of those documents hold them). Its distinct pairs are cut into parts of
+   whole A ids of at most ``PAIRS`` pairs;
 2. for each part a minimal perfect hash, built from its sorted keys: levels of bit arrays in which
    a key that shares its bit with no other stays, the others go on; a key's slot is the rank of its
    bit. The keys are kept by slot, so a lookup verifies what it finds;
-3. every task adds up a dense vector of document counts indexed by slot; the vectors, in blocks, are
-   summed in a tree of ``TREE`` vectors at a time;
+3. every task adds the written counts up in a dense vector indexed by slot; the vectors, in blocks,
+   are summed in a tree of ``TREE`` vectors at a time;
 4. a second pass aligns the documents again and looks their pairs up.
 
 What the driver broadcasts is one part: at most ``PAIRS`` keys, counts and the bit arrays, whatever
 the corpus; further parts (at the very most 192, as there are 50,257 x 32,000 pairs) are further passes.
 
-Neither tokenizer joins anything across the start of a space or line feed that follows a character
-that is not white space (``Aligner`` checks the vocabulary), so a text is cut there and each
-distinct segment is encoded and aligned once in a worker (its table of segments is bounded).
+Documents are encoded whole. The alignment of a chunk of documents is array arithmetic over the
+places where their tokens end: between two neighbouring ends lies one link.
 
 Cases: null and empty texts have no tokens: zeros and '' as digest; rows that share a doc_id are
 documents of their own, also in the counts; control strings of the tokenizers inside texts are plain
@@ -30,12 +31,15 @@ text; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import os
-import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +50,8 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 PAIRS = 1 << 23            # pairs of a part
 BLOCK = 1 << 16            # counts in a block of a vector
 TREE = 32                  # vectors summed at once
-SEGMENTS_KEPT = 200_000    # bound of a worker's table of segments; then it starts anew
 BYTES_AT_ONCE = 1 << 21
 SHIFT = U(32)
-SEGMENT = re.compile(r"\s*\S+(?:(?![ \n])\s+(?:\S+|\Z))*|\s+")
 
 
 def byte_of() -> dict[str, int]:
@@ -60,126 +62,130 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-class Aligner:
-    """Both tokenizers and what is known of the segments seen so far."""
+class Tokenizers:
+    """Both tokenizers, and the bytes and the decimal ids of their tokens."""
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
         import sentencepiece
-        from tokenizers import Tokenizer
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
+        import tiktoken
         table = byte_of()
-        vocab = self.a.get_vocab(with_added_tokens=True)
-        self.a_bytes = {i: bytes(table[c] for c in t) if all(c in table for c in t) else t.encode() for t, i in vocab.items()}
+        vocab = json.loads(Path(a_path).read_text())["model"]["vocab"]
+        ranks = {bytes(table[c] for c in t): i for t, i in vocab.items() if all(c in table for c in t)}
+        special = {t["content"] for t in json.loads(Path(a_path).read_text())["added_tokens"]}
+        ranks = {t: i for t, i in ranks.items() if t.decode(errors="replace") not in special}
+        # the ids of this vocabulary are its merge ranks, so this encoder gives the ids of the file's own rules
+        self.a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        of = {i: t for t, i in ranks.items()}
+        self.a_bytes = pa.array([of.get(i, b"") for i in range(max(of) + 1)], pa.large_binary())
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if any("\n" in p or re.search("[^▁]▁", p) for p in pieces):
-            raise ValueError("a piece goes on over white space: texts cannot be cut into segments")
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
-                        for i, p in enumerate(pieces)]
-        self.lead = self.b.piece_to_id("▁")
-        self.known: dict[str, tuple] = {}
-
-    def segments(self, text: str) -> list[str]:
-        return SEGMENT.findall(" " + text)
-
-    def learn(self, new: list[str]) -> None:
-        """Align new segments: (ok, tokens of A, of B, groups, link keys, groups as text). Each
-        segment starts with a space, which B adds itself, or with a line feed, where what B adds is a token to drop."""
-        encoded_a = self.a.encode_batch_fast(new, add_special_tokens=False)
-        encoded_b = self.b.encode([s[1:] if s[0] == " " else s for s in new], num_threads=1)
-        for seg, a, b in zip(new, encoded_a, encoded_b, strict=True):
-            a, raw = a.ids, seg.encode()
-            if seg == " ":
-                b = [self.lead]
-            elif seg[0] != " ":
-                b = b[1:] if b[:1] == [self.lead] else []
-            x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(x) != raw or b"".join(y) != raw:
-                self.known[seg] = (False, 0, 0, 0, b"", "")
-            else:
-                self.known[seg] = (True, len(a), len(b), *aligned(a, b, [len(t) for t in x], [len(t) for t in y]))
-
-    def look_up(self, segs: list[str]) -> None:
-        new = [s for s in segs if s not in self.known]
-        if len(self.known) + len(new) > SEGMENTS_KEPT:
-            self.known.clear()
-            new = segs
-        for i in range(0, len(new), 4096):
-            self.learn(new[i:i + 4096])
-
-
-def aligned(a: list[int], b: list[int], x: list[int], y: list[int]) -> tuple[int, bytes, str]:
-    """(groups, link keys, groups as text) of ids with their lengths in bytes over the same bytes."""
-    keys, groups = [], []
-    i = j = i0 = j0 = end_a = end_b = 0
-    while i < len(a):
-        keys.append(a[i] << 16 | b[j])
-        up_a, up_b = end_a + x[i], end_b + y[j]
-        if up_a <= up_b:
-            i, end_a = i + 1, up_a
-        if up_b <= up_a:
-            j, end_b = j + 1, up_b
-        if up_a == up_b:
-            groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-            i0, j0 = i, j
-    return len(groups), np.array(keys, "<u4").tobytes(), ";".join(groups)
-
-
-def aligner(a_file: str, b_file: str) -> Aligner:
+        self.b_bytes = pa.array([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode()
+                                 for i, p in enumerate(pieces)], pa.large_binary())
+        # by 2 x id: the id with what follows it inside a group, and (+ 1) at the end of its side of a group
+        self.a_text, self.b_text = (pa.array([f"{i}{c}".encode() for i in range(n) for c in (",", end)], pa.large_binary())
+                                    for n, end in ((len(self.a_bytes), "|"), (len(pieces), ";")))
+        self.a_size, self.b_size = (np.array([len(t.as_py()) for t in x]) for x in (self.a_bytes, self.b_bytes))
+
+
+def tokenizers(a_file: str, b_file: str) -> Tokenizers:
     import public_tokenizers
     paths = tuple(f if os.sep in f else public_tokenizers.path(f) for f in (a_file, b_file))
     known = KEPT.setdefault(__name__, {})
     if paths not in known:
-        known[paths] = Aligner(*paths)
+        known[paths] = Tokenizers(*paths)
     return known[paths]
 
 
+def flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, np.int64), *(np.array(x, np.int64) for x in ids)]), np.cumsum([0, *map(len, ids)])
+
+
+def taken(values: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Concatenated bytes of ``values[at]`` and their n+1 offsets."""
+    got = values.take(pa.array(at))
+    off = np.frombuffer(got.buffers()[1], np.int64)[:len(got) + 1]
+    return np.frombuffer(got.buffers()[2] or b"", np.uint8)[:off[-1]], off
+
+
+def unlike(ids: list[list[int]], values: pa.Array, raw: list[bytes]) -> list[int]:
+    """The texts whose tokens' bytes, joined, are not theirs."""
+    all_, at = flat(ids)
+    data, off = taken(values, all_)
+    return [d for d, (x, y) in enumerate(itertools.pairwise(off[at].tolist())) if data[x:y].tobytes() != raw[d]]
+
+
 class Chunk:
     """Alignments of some documents: token, group and link numbers, and the distinct linked pairs of
     each document (``doc``, ``key`` and how often, ``times``), by document and key."""
 
-    def __init__(self, al: Aligner, texts: list[str | None]):
-        segs = [al.segments(t) if t else [] for t in texts]
-        distinct = list(dict.fromkeys(s for of in segs for s in of))
-        al.look_up(distinct)
-        facts = [al.known[s] for s in distinct]
-        place = {s: i for i, s in enumerate(distinct)}
-        ok = np.array([f[0] for f in facts], bool)
-        codes = [np.fromiter(map(place.__getitem__, of), np.int64, len(of)) for of in segs]
-        codes = [c if len(c) and ok[c].all() else c[:0] for c in codes]
-        size = np.array([len(c) for c in codes])
-        all_, doc = np.concatenate([np.zeros(0, np.int64), *codes]), np.repeat(np.arange(len(codes)), size)
-        numbers = np.array([f[1:4] + (len(f[4]) // 4,) for f in facts], np.int64).reshape(-1, 4)
-        at = np.concatenate([[0], np.cumsum(size)])
-        self.n_a, self.n_b, self.n_groups, self.n_links = (
-            np.diff(np.concatenate([[0], np.cumsum(numbers[all_, k])])[at]) for k in range(4))
-        self.texts, self.codes = [f[5] for f in facts], codes
-        flat = np.frombuffer(b"".join(f[4] for f in facts), "<u4")
-        first = np.cumsum(numbers[:, 3]) - numbers[:, 3]
-        links = numbers[all_, 3]
-        take = np.arange(links.sum()) + np.repeat(first[all_] - (np.cumsum(links) - links), links)
-        both = np.repeat(doc, links).astype(U) << SHIFT | flat[take].astype(U)
-        both, self.times = np.unique(both, return_counts=True)
+    def __init__(self, tk: Tokenizers, texts: list[str | None]):
+        self.tk, raw = tk, [(" " + t).encode() if t else b"" for t in texts]
+        a = [tk.a.encode_ordinary(" " + t) if t else [] for t in texts]
+        b = tk.b.encode([t or "" for t in texts], num_threads=1)
+        odd = {d for ids, values in ((a, tk.a_bytes), (b, tk.b_bytes)) for d in unlike(ids, values, raw)}
+        for d in odd:                                                # tokens that do not give the bytes back count as none
+            a[d], b[d], raw[d] = [], [], b""
+        (self.a, at_a), (self.b, at_b) = flat(a), flat(b)
+        self.n_a, self.n_b = np.diff(at_a), np.diff(at_b)
+        last = np.cumsum([0, *map(len, raw)])                        # all documents' bytes end to end
+        ends = np.zeros((2, int(last[-1])), bool)                    # the last bytes of tokens
+        ends[0, np.cumsum(tk.a_size[self.a]) - 1] = ends[1, np.cumsum(tk.b_size[self.b]) - 1] = True
+        link = np.flatnonzero(ends[0] | ends[1])                     # each ends a link
+        both = ends[:, link]
+        at = np.cumsum(both, axis=1) - both                          # the tokens that hold these bytes
+        cut = both.all(axis=0)                                       # both tokens end: so does a group
+        self.cut_a, self.cut_b = at[0, cut], at[1, cut]
+        until = np.searchsorted(link, last)
+        self.n_links, self.n_groups = np.diff(until), np.diff(np.concatenate([[0], np.cumsum(cut)])[until])
+        doc = np.repeat(np.arange(len(raw)), self.n_links)
+        keys = self.a[at[0]] << 16 | self.b[at[1]]
+        both, self.times = np.unique(doc.astype(U) << SHIFT | keys.astype(U), return_counts=True)
         self.doc, self.key = (both >> SHIFT).astype(np.int64), (both & U(0xFFFFFFFF)).astype(np.uint32)
 
     def digests(self) -> list[str]:
-        return [hashlib.sha256(";".join([self.texts[i] for i in c]).encode()).hexdigest() if len(c) else "" for c in self.codes]
+        """Of each document, the digest of its groups as text ('' without tokens)."""
+        cut_a, cut_b = self.cut_a, self.cut_b                        # last tokens of the groups
+        code_a, code_b = 2 * self.a, 2 * self.b
+        code_a[cut_a] += 1
+        code_b[cut_b] += 1
+        # a group's A tokens come after the B tokens of the groups before, its B tokens after its A tokens
+        place_a = np.arange(len(code_a)) + np.repeat(np.concatenate([[0], cut_b + 1])[:-1], np.diff(cut_a, prepend=-1))
+        place_b = np.arange(len(code_b)) + np.repeat(cut_a + 1, np.diff(cut_b, prepend=-1))
+        order = np.zeros(len(code_a) + len(code_b), np.int64)
+        order[place_a], order[place_b] = code_a, code_b + 2 * len(self.tk.a_bytes)
+        data, off = taken(pa.concat_arrays([self.tk.a_text, self.tk.b_text]), order)
+        at = off[np.cumsum(np.concatenate([[0], self.n_a + self.n_b]))].tolist()
+        data = memoryview(np.ascontiguousarray(data))
+        return [hashlib.sha256(data[x:y - 1]).hexdigest() if y > x else "" for x, y in itertools.pairwise(at)]
+
+
+def chunks(b: pa.RecordBatch, tk: Tokenizers) -> Iterator[tuple[int, int, Chunk]]:
+    for i, j, _, _ in byte_chunks(b.column("text"), BYTES_AT_ONCE):
+        yield i, j, Chunk(tk, b.column("text").slice(i, j - i).to_pylist())
 
 
-def chunks(b: pa.RecordBatch, al: Aligner) -> Iterator[tuple[int, int, Chunk]]:
-    for i, j, _, _ in byte_chunks(b.column("text"), BYTES_AT_ONCE):
-        yield i, j, Chunk(al, b.column("text").slice(i, j - i).to_pylist())
+def held_pairs(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
+    """(keys, counts): of some documents a row, the id pairs linked in them (A id x 2^16 + B id, ascending)
+    and how many of the documents hold each, little-endian unsigned 32-bit."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk = tokenizers(*files)
+        for b in batches:
+            for _, _, c in chunks(b, tk):
+                keys, counts = np.unique(c.key, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype("<u4").tobytes()], pa.binary()) for x in (keys, counts)],
+                                                 names=["keys", "counts"])
+
+    return map_arrow(docs.select("text"), work, "keys binary, counts binary")
 
 
-def distinct_pairs(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
-    """(key): every id pair that is linked in a document, as A id x 2^16 + B id."""
+def distinct_pairs(held: DataFrame) -> DataFrame:
+    """(key): every id pair that is linked in a document."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        al, seen = aligner(*files), np.zeros(0, np.uint32)
+        seen = np.zeros(0, np.uint32)
         for b in batches:
-            for _, _, c in chunks(b, al):
-                seen = np.union1d(seen, c.key)
+            for k in b.column("keys"):
+                seen = np.union1d(seen, np.frombuffer(k.as_buffer(), "<u4"))
                 if len(seen) > PAIRS // 8:
                     yield rows(seen)
                     seen = seen[:0]
@@ -188,7 +194,7 @@ def distinct_pairs(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
     def rows(keys: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64))], names=["key"])
 
-    return map_arrow(docs.select("text"), work, "key long").distinct()
+    return map_arrow(held.select("keys"), work, "key long").distinct()
 
 
 class PerfectHash:
@@ -264,23 +270,23 @@ def summed(vectors: DataFrame) -> DataFrame:
     return vectors.select("block", "counts")
 
 
-def document_counts(docs: DataFrame, hashed, files: tuple[str, str]) -> DataFrame:
+def document_counts(held: DataFrame, hashed) -> DataFrame:
     """(block, counts) of the dense vector: by slot, how many documents hold the pair linked."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        al, ph = aligner(*files), hashed.value
-        counts = np.zeros(-(-len(ph.keys) // BLOCK) * BLOCK, np.int64)
+        ph = hashed.value
+        total = np.zeros(-(-len(ph.keys) // BLOCK) * BLOCK, np.int64)
         for b in batches:
-            for _, _, c in chunks(b, al):
-                slot = ph.slots(c.key)
-                np.add.at(counts, slot[slot >= 0], 1)       # a document has a pair once
-        blocks = counts.reshape(-1, BLOCK)
+            for keys, counts in zip(b.column("keys"), b.column("counts"), strict=True):
+                slot = ph.slots(np.frombuffer(keys.as_buffer(), "<u4"))
+                here = slot >= 0
+                total[slot[here]] += np.frombuffer(counts.as_buffer(), "<u4")[here]      # a row has a key once
+        blocks = total.reshape(-1, BLOCK)
         for i in np.flatnonzero(blocks.any(axis=1)).tolist():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([i], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int64()),
                  pa.array([blocks[i].tobytes()], pa.binary())], names=["block", "task", "counts"])
 
-    return summed(written(map_arrow(docs.select("text"), work, "block int, task long, counts binary"), "vectors"))
+    return summed(written(map_arrow(held, work, "block int, task long, counts binary"), "vectors"))
 
 
 def looked_up(docs: DataFrame, tables, files: tuple[str, str]) -> DataFrame:
@@ -289,9 +295,9 @@ def looked_up(docs: DataFrame, tables, files: tuple[str, str]) -> DataFrame:
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        al = aligner(*files)
+        tk = tokenizers(*files)
         for b in batches:
-            for i, j, c in chunks(b, al):
+            for i, j, c in chunks(b, tk):
                 best, total = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64)
                 if tables is not None:
                     ph, counts, highest = tables.value
@@ -311,14 +317,14 @@ def looked_up(docs: DataFrame, tables, files: tuple[str, str]) -> DataFrame:
 def align(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, most: int = PAIRS) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row."""
     files, sc = (a_file, b_file), docs.sparkSession.sparkContext
-    pairs, found = written(distinct_pairs(docs, files), "pairs"), []
-    ranges = parts(pairs, most)
-    for start, end in ranges:
+    held = written(held_pairs(docs, files), "held")
+    pairs, found = written(distinct_pairs(held), "pairs"), []
+    for start, end in parts(pairs, most):
         part = pairs.where((F.col("key") >= start << 16) & (F.col("key") < end << 16)).select("key")
         keys = np.sort(part.toArrow().column(0).to_numpy().astype(np.uint32))       # at most ``most``, or one A id's
         ph = PerfectHash(keys)
         counts = np.zeros(-(-len(keys) // BLOCK) * BLOCK, np.int64)
-        for r in document_counts(docs, sc.broadcast(ph), files).collect():                   # 8 bytes a key
+        for r in document_counts(held, sc.broadcast(ph)).collect():            # 8 bytes a key
             counts[r["block"] * BLOCK:][:BLOCK] = np.frombuffer(r["counts"], "<i8")
         counts, a = counts[:len(keys)], (ph.keys >> np.uint32(16)).astype(np.int64)
         most_of = np.zeros(1 << 16, np.int64)
