@@ -20,7 +20,7 @@ How many documents hold an id pair linked is counted with a minimal perfect hash
 What the driver broadcasts is one part: at most ``PAIRS`` keys, counts and the bit arrays, whatever
 the corpus; further parts (at the very most 192, as there are 50,257 x 32,000 pairs) are further passes.
 
-Documents are encoded whole. The alignment of a chunk of documents is array arithmetic over the
+The texts are encoded whole, by B word by word. The alignment of a chunk of documents is array arithmetic over the
 places where their tokens end: between two neighbouring ends lies one link.
 
 Cases: null and empty texts have no tokens: zeros and '' as digest; rows that share a doc_id are
@@ -34,6 +34,7 @@ import hashlib
 import itertools
 import json
 import os
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -77,6 +78,8 @@ class Tokenizers:
         # the ids of this vocabulary are its merge ranks, so this encoder gives the ids of the file's own rules
         self.a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        if any(re.search("[^\u2581]\u2581", self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())):
+            raise ValueError("a piece goes on over a space: words cannot be encoded one by one")
         of = {i: t for t, i in ranks.items()}
         self.a_bytes = pa.array([of.get(i, b"") for i in range(max(of) + 1)], pa.large_binary())
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
@@ -87,6 +90,18 @@ class Tokenizers:
                                     for n, end in ((len(self.a_bytes), "|"), (len(pieces), ";")))
         self.a_size, self.b_size = (np.array([len(t.as_py()) for t in x]) for x in (self.a_bytes, self.b_bytes))
 
+    def encode_b(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """B's ids end to end, and how many each text has. No piece goes on over a space, so words between
+        single spaces are encoded one by one, each distinct one once; other texts are one word."""
+        words = [[] if not t else [t] if "  " in t or t[0] == " " or t[-1] == " " else t.split(" ") for t in texts]
+        place = {w: i for i, w in enumerate(dict.fromkeys(itertools.chain.from_iterable(words)))}
+        ids, size = flat(self.b.encode(list(place), num_threads=1))
+        first = np.cumsum(size) - size
+        codes = [np.fromiter(map(place.__getitem__, w), np.int64, len(w)) for w in words]
+        counts = np.array([size[c].sum() for c in codes], np.int64)
+        all_ = np.concatenate([np.zeros(0, np.int64), *codes])
+        return ids[spread(size[all_], first[all_])], counts
+
 
 def tokenizers(a_file: str, b_file: str) -> Tokenizers:
     import public_tokenizers
@@ -98,7 +113,14 @@ def tokenizers(a_file: str, b_file: str) -> Tokenizers:
 
 
 def flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([np.zeros(0, np.int64), *(np.array(x, np.int64) for x in ids)]), np.cumsum([0, *map(len, ids)])
+    """The ids end to end, and how many each list has."""
+    size = np.array([len(x) for x in ids], np.int64)
+    return np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(size.sum())), size
+
+
+def spread(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, .. (counts[0] numbers), first[1], .. and so on."""
+    return np.arange(counts.sum()) + np.repeat(first - (np.cumsum(counts) - counts), counts)
 
 
 def taken(values: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,26 +130,21 @@ def taken(values: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(got.buffers()[2] or b"", np.uint8)[:off[-1]], off
 
 
-def unlike(ids: list[list[int]], values: pa.Array, raw: list[bytes]) -> list[int]:
-    """The texts whose tokens' bytes, joined, are not theirs."""
-    all_, at = flat(ids)
-    data, off = taken(values, all_)
-    return [d for d, (x, y) in enumerate(itertools.pairwise(off[at].tolist())) if data[x:y].tobytes() != raw[d]]
-
-
 class Chunk:
     """Alignments of some documents: token, group and link numbers, and the distinct linked pairs of
     each document (``doc``, ``key`` and how often, ``times``), by document and key."""
 
     def __init__(self, tk: Tokenizers, texts: list[str | None]):
         self.tk, raw = tk, [(" " + t).encode() if t else b"" for t in texts]
-        a = [tk.a.encode_ordinary(" " + t) if t else [] for t in texts]
-        b = tk.b.encode([t or "" for t in texts], num_threads=1)
-        odd = {d for ids, values in ((a, tk.a_bytes), (b, tk.b_bytes)) for d in unlike(ids, values, raw)}
-        for d in odd:                                                # tokens that do not give the bytes back count as none
-            a[d], b[d], raw[d] = [], [], b""
-        (self.a, at_a), (self.b, at_b) = flat(a), flat(b)
-        self.n_a, self.n_b = np.diff(at_a), np.diff(at_b)
+        self.a, self.n_a = flat([tk.a.encode_ordinary(" " + t) if t else [] for t in texts])
+        self.b, self.n_b = tk.encode_b(texts)
+        data, off = taken(tk.b_bytes, self.b)                        # A's bytes are the text's by its construction
+        at = off[np.cumsum([0, *self.n_b])].tolist()
+        odd = np.array([data[x:y].tobytes() != r for r, (x, y) in zip(raw, itertools.pairwise(at), strict=True)], bool)
+        if odd.any():                                                # tokens that do not give the bytes back count as none
+            self.a, self.b = self.a[~np.repeat(odd, self.n_a)], self.b[~np.repeat(odd, self.n_b)]
+            self.n_a, self.n_b = self.n_a * ~odd, self.n_b * ~odd
+            raw = [b"" if o else r for o, r in zip(odd, raw, strict=True)]
         last = np.cumsum([0, *map(len, raw)])                        # all documents' bytes end to end
         ends = np.zeros((2, int(last[-1])), bool)                    # the last bytes of tokens
         ends[0, np.cumsum(tk.a_size[self.a]) - 1] = ends[1, np.cumsum(tk.b_size[self.b]) - 1] = True
