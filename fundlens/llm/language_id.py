@@ -241,8 +241,9 @@ def keep_known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` without the rows whose language can't be told (``und`` or a score under
     ``min_score``); a missing lang becomes the predicted one."""
     cols = docs.columns
-    got = predict(docs, fit(docs), cols).where((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
-    return got.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*cols)
+    carried = docs.select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(cols)], F.col("text"))   # names that cannot clash
+    got = predict(carried, fit(docs), carried.columns[:-1]).where((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
+    return got.select(*[(F.coalesce(f"_in{i}", "lang_pred") if c == "lang" else F.col(f"_in{i}")).alias(c) for i, c in enumerate(cols)])
 
 
 def identify(docs: DataFrame) -> DataFrame:

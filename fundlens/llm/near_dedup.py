@@ -5,10 +5,15 @@ sets are one class. Each of ``TREES`` independent trees sends a class down paths
 minwise coordinate (and, with probability 100 / percent - 1, a second one) from its own path alone
 and splits its classes by their minwise value there, so a path needs no coordination between
 documents. Nodes of up to ``LEAF`` classes are compared exhaustively; larger ones go down
-another level and, at the last level, are compared in pairs of blocks. A pair at a threshold of
+another level and, at the last level, are compared in blocks. A pair at a threshold of
 0.85 (0.8) meets in a tree with probability 0.87 (0.84) at the first level and about 0.7 (0.6) at
 the third: ten trees miss it with less than 1e-5 (1e-4).
 
+The first tree goes first, its large nodes block by block, and what it links is united; then the other
+trees in the same way, between components only: a leaf whose classes are one component by then is dropped.
+At last classes of a large node meet across its blocks, again between components only: the blocks of its
+largest component meet the blocks of the rest, never one another. So a large group of near copies costs its size, not its square.
+
 In a leaf, pairs whose signatures agree far enough (four standard deviations under the
 threshold) are candidates; a pair that meets in several leaves is taken in the smallest only.
 Candidates are confirmed on the full shingle sets of the whole texts, skipping pairs already
@@ -26,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fundlens.llm.bytewords import U, mix, shingle_sets
@@ -94,16 +99,15 @@ def sig_matrix(col: pa.Array, width: str = "<u4") -> np.ndarray:
     return np.frombuffer(raw, width).reshape(len(col), COORDINATES)
 
 
-def split(rows: DataFrame, roots: bool, percent: int) -> DataFrame:
-    """(node, rep) of the children: of every tree's root, or of each row's node."""
+def split(rows: DataFrame, trees: range | None, percent: int) -> DataFrame:
+    """(node, rep) of the children: of the roots of ``trees``, or of each row's node."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops = mix(np.arange(1, TREES + 1, dtype=U))
         for b in batches:
             sig, rep = sig_matrix(b.column("sig")), b.column("rep").to_numpy()
-            nodes = tops if roots else b.column("node").to_numpy().view(U)
+            nodes = mix(np.array(trees, U) + U(1)) if trees else b.column("node").to_numpy().view(U)
             one, two, both = chosen(nodes, percent)
             out, reps = [], []
-            if roots:
+            if trees:
                 for node, c1, c2, second in zip(nodes, one, two, both, strict=True):
                     for c in [c1, c2][:1 + second]:
                         out.append(child(np.full(len(rep), node), np.full(len(rep), c), sig[:, int(c)]))
@@ -116,35 +120,61 @@ def split(rows: DataFrame, roots: bool, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(reps))],
                                              names=["node", "rep"])
 
-    return map_arrow(rows.select(*([] if roots else ["node"]), "rep", "sig"), work, "node long, rep long")
+    return map_arrow(rows.select(*([] if trees else ["node"]), "rep", "sig"), work, "node long, rep long")
 
 
-def leaves(sets: DataFrame, percent: int) -> DataFrame:
-    """(leaf, rep): every leaf of two classes and more, each of at most about LEAF classes."""
-    paths, out = written(split(sets, True, percent), "paths"), None
+def leaves(sets: DataFrame, percent: int, trees: range) -> tuple[DataFrame, DataFrame]:
+    """(leaf, rep) of the leaves of two to LEAF classes, and (node, rep, n) of the nodes still larger after all levels."""
+    paths, out = written(split(sets, trees, percent), "paths"), None
     for level in range(LEVELS):
         sizes = paths.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         sized = paths.join(sizes, "node")
         small = sized.where(F.col("n") <= LEAF).select(F.col("node").alias("leaf"), "rep")
         out = small if out is None else out.unionByName(small)
-        large = sized.where(F.col("n") > LEAF)
-        if not sizes.where(F.col("n") > LEAF).limit(1).count():
-            return out
-        if level < LEVELS - 1:
-            paths = written(split(large.join(sets, "rep"), False, percent), "paths")
-    # what is still large: every pair of blocks of half a leaf is a leaf, so no pair is lost
-    blocks = F.ceil(F.col("n") * 2 / LEAF).cast("int")
-    large = large.select("node", "rep", blocks.alias("b")).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("b")).cast("int"))
-    pairs = large.select("node", "rep", "c", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("k"))
-    return out.unionByName(pairs.select(F.xxhash64("node", F.least("c", "k"), F.greatest("c", "k")).alias("leaf"), "rep"))
-
-
-def candidates(leaf: int, sig: np.ndarray, own: list[list[int]], least: int) -> list[tuple[int, int, int]]:
-    """(agreement, i, j) of the pairs to confirm in this leaf, best first: signatures that
-    agree in ``least`` places, and no smaller leaf that both are in."""
+        large = sized.where(F.col("n") > LEAF).select("node", "rep", "n")
+        if level == LEVELS - 1 or not sizes.where(F.col("n") > LEAF).limit(1).count():
+            return out, large
+        paths = written(split(large.join(sets, "rep"), None, percent), "paths")
+
+
+def blocks(n: Column) -> tuple[Column, Column]:
+    """How many blocks of half a leaf ``n`` classes make, and the one that a class is in (another mix in each node)."""
+    count = F.ceil(n * 2 / LEAF).cast("int")
+    return count, F.pmod(F.xxhash64("rep", "node"), count).cast("int")
+
+
+def within_blocks(large: DataFrame) -> DataFrame:
+    """(leaf, rep): the blocks of large nodes."""
+    return large.select(F.xxhash64("node", blocks(F.col("n"))[1]).alias("leaf"), "rep")
+
+
+def across_components(large: DataFrame) -> DataFrame:
+    """(leaf, rep) of ``large(node, rep, component)``: every two classes of a node that are of different
+    components meet in a leaf. The node's largest component is cut into blocks, and so is the rest;
+    each block of the one meets each of the other, and blocks of the rest meet one another."""
+    counts = large.groupBy("node", "component").agg(F.count("*").alias("n"))
+    of = counts.groupBy("node").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"))
+    of = of.select("node", F.col("most.component").alias("big"), F.col("most.n").alias("n_big"), (F.col("n") - F.col("most.n")).alias("n_rest"))
+    rows = large.join(of.where("n_rest > 0"), "node")
+    (n_big, at_big), (n_rest, at_rest) = blocks(F.col("n_big")), blocks(F.col("n_rest"))
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
+    in_big = F.col("component") == F.col("big")
+    big = rows.where(in_big).select("node", "rep", at_big.alias("c"), F.explode(numbers(n_rest)).alias("d"))
+    rest = rows.where(~in_big).select("node", "rep", at_rest.alias("d"), n_big.alias("n_big"), n_rest.alias("n_rest"))
+    met = big.unionByName(rest.select("node", "rep", "d", F.explode(numbers(F.col("n_big"))).alias("c")))
+    rest = rest.select("node", "rep", "d", F.explode(numbers(F.col("n_rest"))).alias("k"))
+    return (met.select(F.xxhash64("node", F.lit("big"), "c", "d").alias("leaf"), "rep")
+            .unionByName(rest.select(F.xxhash64("node", F.lit("rest"), F.least("d", "k"), F.greatest("d", "k")).alias("leaf"), "rep")))
+
+
+def candidates(t: pa.Table, sig: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(agreement, i, j) of the pairs to confirm in this leaf, best first: of different components,
+    with signatures that agree in ``least`` places, and no smaller leaf that both are in."""
+    leaf, own, part = t.column("leaf")[0].as_py(), t.column("leaves").to_pylist(), t.column("component").to_numpy()
     n, out = len(sig), []
     for a in range(0, n, 64):
         agree = (sig[a:a + 64, None, :] == sig[None, a:, :]).sum(axis=2, dtype=np.int16)
+        agree[part[a:a + 64, None] == part[None, a:]] = -1
         for i, j in zip(*np.nonzero(agree >= least), strict=True):
             if j > i:
                 out.append((int(agree[i, j]), a + int(i), a + int(j)))
@@ -166,11 +196,9 @@ def to_confirm(rows: DataFrame, percent: int) -> DataFrame:
         got: list[tuple[int, int]] = []
         for t in key_runs(batches, ["leaf"]):
             if t.num_rows > 1:
-                leaf = t.column("leaf")[0].as_py()
-                sig = sig_matrix(t.column("sig").combine_chunks(), "u1")
-                pairs = candidates(leaf, sig, t.column("leaves").to_pylist(), agreement(percent))
+                pairs = candidates(t, sig_matrix(t.column("sig").combine_chunks(), "u1"), agreement(percent))
                 if pairs:
-                    rep = t.column("rep").to_numpy()
+                    leaf, rep = t.column("leaf")[0].as_py(), t.column("rep").to_numpy()
                     got += [(leaf, int(rep[k])) for k in {k for _, i, j in pairs for k in (i, j)}]
             if len(got) > 50_000:
                 yield flat(got)
@@ -180,7 +208,7 @@ def to_confirm(rows: DataFrame, percent: int) -> DataFrame:
     def flat(got):
         return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in range(2)], names=["leaf", "rep"])
 
-    return map_arrow(runs_of(rows.select("leaf", "rep", "sig", "leaves")), work, "leaf long, rep long")
+    return map_arrow(runs_of(rows), work, "leaf long, rep long")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
@@ -212,7 +240,7 @@ def confirmed(rows: DataFrame, percent: int) -> DataFrame:
                     i = root[i]
                 return i
 
-            for _, i, j in candidates(t.column("leaf")[0].as_py(), sig, t.column("leaves").to_pylist(), agreement(percent)):
+            for _, i, j in candidates(t, sig, agreement(percent)):
                 if top(i) != top(j) and similar(sets[i], sets[j], percent):
                     root[top(i)] = top(j)
                     got.append((int(rep[i]), int(rep[j])))
@@ -227,26 +255,53 @@ def confirmed(rows: DataFrame, percent: int) -> DataFrame:
     return map_arrow(runs_of(rows), work, "a long, b long")
 
 
+def found(small: DataFrame, large: DataFrame, sets: DataFrame, docs: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a forest of the links inside the given leaves between classes of different components.
+
+    ``small`` and ``large`` are (leaf, rep), ``label`` is (rep, component), ``sets`` (rep, sig)."""
+    own = small.groupBy("rep").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))   # at most some 2 a tree
+    rows = small.unionByName(large).distinct().join(label, "rep")
+    mixed = rows.groupBy("leaf").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("leaf")
+    rows = written(rows.join(mixed, "leaf", "left_semi"), "mixed")
+    low = map_arrow(sets, lambda bs: (pa.RecordBatch.from_arrays(
+        [b.column("rep"), pa.array([r.tobytes() for r in (sig_matrix(b.column("sig")) & 255).astype(np.uint8)], pa.binary())],
+        names=["rep", "sig"]) for b in bs), "rep long, sig binary")
+    placed = written(only_ids(low, "rep", rows).join(own, "rep", "left")
+                     .select("rep", "sig", F.coalesce("leaves", F.array().cast("array<long>")).alias("leaves")), "placed")
+    want = written(to_confirm(rows.join(placed, "rep"), percent), "to-confirm")
+    texts = only_ids(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep", want)
+    return written(confirmed(want.join(label, "rep").join(placed, "rep").join(texts, "rep")
+                             .select("leaf", "rep", "component", "sig", "leaves", "text"), percent), "links")
+
+
+def labelled(single: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, component) of all classes by the links so far."""
+    return written(single.select("rep").join(components(links), F.col("rep") == F.col("id"), "left")
+                   .select("rep", F.coalesce("component", "rep").alias("component")), "labels")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     sig = written(signatures(docs), "signatures")
     full = sig.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    # rows that share a doc_id but not a text are one document: link their classes
+    # rows that share a doc_id but not a text are one document: link their classes to the smallest
     member = written(full.join(classes, ["f1", "f2", "n_shingles"]).select("doc_id", "rep"), "members")
-    twice = (member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
-             .select("a", "b"))
+    least = member.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most")
+    twice = member.join(least, "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
     sets = written(full.join(classes.select("f1", "f2", "n_shingles", "rep"), ["f1", "f2", "n_shingles"])
                    .where("doc_id = rep").select("rep", "sig").dropDuplicates(["rep"]), "sets")
-    own = (leaves(sets, percent).groupBy("rep").agg(F.sort_array(F.collect_set("leaf")).alias("leaves")))  # some 2 x TREES each
-    low = map_arrow(sets, lambda bs: (pa.RecordBatch.from_arrays(
-        [b.column("rep"), pa.array([r.tobytes() for r in (sig_matrix(b.column("sig")) & 255).astype(np.uint8)], pa.binary())],
-        names=["rep", "sig"]) for b in bs), "rep long, sig binary")
-    placed = written(own.join(low, "rep"), "leaves")
-    want = written(to_confirm(placed.select(F.explode("leaves").alias("leaf"), "rep", "sig", "leaves"), percent), "to-confirm")
-    texts = only_ids(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep", want)
-    links = confirmed(want.join(placed, "rep").join(texts, "rep").select("leaf", "rep", "sig", "leaves", "text"), percent)
-    comp = components(links.unionByName(twice))
+    small, large = leaves(sets, percent, range(1))
+    single = sets.select("rep", F.col("rep").alias("component"))
+    links = found(small, within_blocks(large), sets, docs, single, percent).unionByName(twice)
+    label = labelled(single, links)
+    small, more = leaves(sets, percent, range(1, TREES))
+    links = links.unionByName(found(small, within_blocks(more), sets, docs, label, percent))
+    large = written(large.unionByName(more), "large")
+    if large.limit(1).count():
+        label = labelled(single, links)
+        links = links.unionByName(found(small.limit(0), across_components(large.join(label, "rep")), sets, docs, label, percent))
+    comp = components(links)
     of = (member.join(comp, member["rep"] == comp["id"], "left")
           .groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id")))
     return (sig.select("doc_id", "n_shingles").join(of, "doc_id", "left")

@@ -255,3 +255,42 @@ def test_vectors_are_summed_in_a_tree(spark):
     rows = [(b, t, np.full(token_align.BLOCK, t + b, "<i8").tobytes()) for b in range(2) for t in range(70)]
     got = token_align.summed(spark.createDataFrame(rows, "block int, task long, counts binary")).collect()
     assert {r["block"]: int(np.frombuffer(r["counts"], "<i8")[-1]) for r in got} == {0: 2415, 1: 2485} and len(got) == 2
+
+
+# what the second round's checks found
+
+def test_dense_group_of_near_copies_costs_its_size(spark, monkeypatch):
+    from fundlens.llm import near_dedup
+    monkeypatch.setattr(near_dedup, "LEAF", 128)
+    confirmed, made = near_dedup.confirmed, []
+    monkeypatch.setattr(near_dedup, "confirmed", lambda rows, percent: made.append(rows.count()) or confirmed(rows, percent))
+    base = [f"w{i}" for i in range(90)]
+    rng = np.random.default_rng(4)
+
+    def copies(n):
+        rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1:])) for i, k in enumerate(rng.integers(0, 90, n).tolist())]
+        return rows + [(n + i, " ".join(f"u{i}v{j}" for j in range(60))) for i in range(40)]
+
+    totals = []
+    for n in (1000, 2000):
+        rows, made[:] = copies(n), []
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(spark, rows), 80).collect()}
+        sets = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+        linked = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+        assert [got[i] for i in range(len(rows))] == brute_components(len(rows), linked)
+        totals.append(sum(made))
+    assert totals[1] <= 2.2 * totals[0], totals
+
+
+def test_stages_take_clashing_columns_and_shared_ids(spark):
+    from fundlens.llm import language_id, substring_dedup
+    text = "der hund und die katze gehen heute nach hause "
+    rows = [(i, text * 3 + str(i), "de", 0.5, "x", True, "t") for i in range(40)]
+    got = language_id.keep_known(spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string, _letters boolean, _text string"))
+    assert got.columns == ["doc_id", "text", "lang", "score", "lang_pred", "_letters", "_text"]
+    assert {(r["score"], r["lang_pred"], r["_text"]) for r in got.collect()} <= {(0.5, "x", "t")}
+    passage, clean = " ".join(f"p{i}" for i in range(80)), " ".join(f"c{i}" for i in range(120))
+    rows = [(1, passage + " end"), (2, "lead in " + passage), (2, None), (2, clean), (3, "of three " + passage), (None, passage)]
+    got = Counter((r["doc_id"], r["text"]) for r in substring_dedup.cut_repeats(docs(spark, rows)).collect())
+    assert got[(2, None)] == got[(2, clean)] == got[(None, passage)] == 1
+    assert sum(passage in (t or "") for i, t in got if i is not None) == 1 and len(got) == len(rows)
