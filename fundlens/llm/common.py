@@ -111,15 +111,15 @@ def _bitmap(key: str, ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def _marked(rows: DataFrame, key: str, bits: np.ndarray, seen: bool) -> DataFrame:
-    """The rows whose key's bit is set (``seen``) or is not."""
+def _marked(rows: DataFrame, key: str, bits: np.ndarray) -> DataFrame:
+    """The rows whose key's bit is set."""
     cols = rows.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.column("_bit").to_numpy()
             hit = (bits[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            yield b.filter(pa.array(hit == seen)).select(cols)
+            yield b.filter(pa.array(hit)).select(cols)
 
     bit = F.pmod(F.xxhash64(key), F.lit(64 * FILTER_WORDS))
     return map_arrow(rows.withColumn("_bit", bit), work, rows.schema)
@@ -132,14 +132,7 @@ def only_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     so their texts are not shuffled; the semi join then decides. With very many ids the bitmap
     only lets more rows through.
     """
-    return _marked(rows, key, _bitmap(key, ids), True).join(ids.select(key).distinct(), key, "left_semi")
-
-
-def without_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The other rows, exactly: those whose bit is not set pass, the anti join decides the rest."""
-    bits = _bitmap(key, ids)
-    rest = _marked(rows, key, bits, True).join(ids.select(key).distinct(), key, "left_anti").select(*rows.columns)
-    return _marked(rows, key, bits, False).unionByName(rest)
+    return _marked(rows, key, _bitmap(key, ids)).join(ids.select(key).distinct(), key, "left_semi")
 
 
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

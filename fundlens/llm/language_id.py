@@ -210,15 +210,15 @@ def pooled(model: dict, data: np.ndarray, off: np.ndarray, block: int = 4096) ->
     return total / np.maximum(np.diff(off), 1)[:, None]
 
 
-def predict(docs: DataFrame, model: dict | None, keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: dict | None, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """``keep`` (default doc_id and held_out) plus lang_pred, score for every row; only the
     text is an input, the other columns pass through."""
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     base = docs.withColumn("held_out", held_out()) if keep is None else docs
     keep = ["doc_id", "held_out"] if keep is None else keep
     if model is None:
         return base.select(*keep, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
-    base = base.select(*keep, letters.alias("_letters"), F.col("text").alias("_text"))
+    base = base.select(*keep, letters.alias("_letters"), *([] if text in keep else [F.col(text)]))
     schema = T.StructType([*base.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
 
@@ -227,7 +227,7 @@ def predict(docs: DataFrame, model: dict | None, keep: list[str] | None = None)
         for b in batches:
             letters = np.asarray(b.column("_letters").to_numpy(zero_copy_only=False), bool)
             best, prob = np.full(len(letters), len(names) - 1), np.zeros(len(letters))
-            for i, j, data, off in byte_chunks(b.column("_text")):
+            for i, j, data, off in byte_chunks(b.column(text)):
                 p = pooled(model, data, off)
                 best[i:j], prob[i:j] = p.argmax(axis=1), p.max(axis=1)
             best[~letters], prob[~letters] = len(names) - 1, 0.0
@@ -241,8 +241,8 @@ def keep_known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` without the rows whose language can't be told (``und`` or a score under
     ``min_score``); a missing lang becomes the predicted one."""
     cols = docs.columns
-    carried = docs.select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(cols)], F.col("text"))   # names that cannot clash
-    got = predict(carried, fit(docs), carried.columns[:-1]).where((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
+    carried = docs.select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(cols)])   # names that cannot clash
+    got = predict(carried, fit(docs), carried.columns, f"_in{cols.index('text')}").where((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
     return got.select(*[(F.coalesce(f"_in{i}", "lang_pred") if c == "lang" else F.col(f"_in{i}")).alias(c) for i, c in enumerate(cols)])
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fundlens.llm.bytewords import U, mix, shingle_sets
-from fundlens.llm.common import byte_chunks, components, key_runs, map_arrow, only_ids, partitions, without_ids, written
+from fundlens.llm.common import byte_chunks, components, key_runs, map_arrow, only_ids, partitions, written
 
 PERCENT = 85           # of the query; the pipeline's stage takes STAGE_PERCENT
 STAGE_PERCENT = 80
@@ -313,7 +313,7 @@ def keep_one(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id."""
     kind = docs.schema["doc_id"].dataType
     gone = written(near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").cast(kind)), "gone")
-    return without_ids(docs, "doc_id", gone)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)     # ids only: broadcast while Spark's size limit allows it
 
 
 ORACLE = r"""
