@@ -142,3 +142,91 @@ def history_forecast_series(projects: DataFrame, p: Params, span: int = 10) -> D
     fc = trend_forecast(projects, p).select("year", F.col("predicted_funding").alias("predicted"),
                                             "lower_bound", "upper_bound", approved.alias("approved_funding"))
     return hist.unionByName(fc, allowMissingColumns=True)
+
+
+# --- I6, the form with changepoints -------------------------------------------
+
+def changepoint_years(p: Params, changepoints: int) -> list[int]:
+    """Years at which the slope may change: evenly over the first four fifths of the training years."""
+    span = 0.8 * (p.current_year - p.train_from)
+    return sorted({p.train_from + round(span * k / (changepoints + 1)) for k in range(1, changepoints + 1)} - {p.train_from})
+
+
+def lasso(gram, xy, penalty: float, sweeps: int = 20_000, tolerance: float = 1e-12):
+    """Coefficients, for many series at once, that minimise half the squared error plus ``penalty`` times the
+    sum of the absolute coefficients from the third on, given X'X (series x m x m) and X'y (series x m).
+
+    Coordinate descent: intercept and slope (not penalised) are solved together, then one changepoint
+    after the other by soft thresholding, until nothing moves."""
+    import numpy as np
+    n, m = xy.shape
+    b = np.zeros((n, m))
+    base = np.linalg.pinv(gram[:, :2, :2], hermitian=True)
+    for _ in range(sweeps):
+        before = b.copy()
+        rest = xy[:, :2] - np.einsum("sij,sj->si", gram[:, :2, 2:], b[:, 2:])
+        b[:, :2] = np.einsum("sij,sj->si", base, rest)
+        for k in range(2, m):
+            size = gram[:, k, k]
+            r = xy[:, k] - np.einsum("sj,sj->s", gram[:, k], b) + size * b[:, k]
+            b[:, k] = np.sign(r) * np.maximum(np.abs(r) - penalty, 0) / np.where(size > 0, size, 1)
+        if m == 2 or np.abs(b - before).max(initial=0) < tolerance:
+            break
+    return b
+
+
+def changepoint_forecast(projects: DataFrame, p: Params, series: list[str] | None = None, changepoints: int = 8,
+                         penalty: float = 0.05) -> DataFrame:
+    """Forecast by a piecewise-linear trend per series: [series...], year, predicted_funding, lower_bound,
+    upper_bound, slope_changes (changepoints whose slope change is not 0).
+
+    The features (1, time, and time since each changepoint) meet in one group-by per series as the sums
+    of their products, so a series is one row of fixed size however many years or projects it has; the
+    L1-penalised fit works on those rows. Time runs from 0 to 1 over the training years and funding is scaled by
+    its largest value, so one ``penalty`` suits all series. With no changepoints the fit is that of
+    ``trend_forecast``. The interval is the residual deviation's; it and the bounds are NULL where no
+    degrees of freedom are left. A series without training years gives no rows; predictions are clamped at 0."""
+    yearly, keys = _series_yearly(projects, series)
+    train = yearly.where((F.col("year") >= p.train_from) & (F.col("year") <= p.current_year)
+                         & ~F.col("year").isin(*p.outlier_years) & F.col("funding").isNotNull())
+    first, length = (day_number(F.lit(p.train_from)), day_number(F.lit(p.current_year)) - day_number(F.lit(p.train_from)))
+    time = lambda year: (day_number(year) - first) / length
+    knots = changepoint_years(p, changepoints) if changepoints else []
+
+    def features(year: Column) -> list[Column]:
+        return [F.lit(1.0), time(year), *[F.greatest(time(year) - time(F.lit(k)), F.lit(0.0)) for k in knots]]
+
+    x, y, m = features(F.col("year")), F.col("funding").cast("double"), 2 + len(knots)
+    products = [F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(m) for j in range(i, m)]
+    sums = train.groupBy(*keys).agg(*products, *[F.sum(c * y).alias(f"r{i}") for i, c in enumerate(x)],
+                                    F.sum(y * y).alias("yy"), F.max(F.abs(y)).alias("top"), F.count("*").alias("n"))
+    solve, z = lasso, p.interval_z
+
+    def fitted(frames):
+        import numpy as np
+        for f in frames:
+            gram = np.empty((len(f), m, m))
+            for i in range(m):
+                for j in range(i, m):
+                    gram[:, i, j] = gram[:, j, i] = f[f"g{i}_{j}"]
+            top = np.where(f["top"] > 0, f["top"], 1.0)
+            xy = np.stack([f[f"r{i}"] for i in range(m)], axis=1) / top[:, None]
+            b = solve(gram, xy, penalty)
+            sse = f["yy"] / top ** 2 - 2 * (b * xy).sum(1) + np.einsum("si,sij,sj->s", b, gram, b)
+            moved = (b[:, 2:] != 0).sum(1)
+            free = f["n"] - 2 - moved
+            out = f[keys].copy()
+            out["coefficients"] = list(b * top[:, None])
+            out["sigma"] = np.where(free > 0, np.sqrt(np.maximum(sse, 0) / np.where(free > 0, free, 1)) * top, np.nan)
+            out["slope_changes"] = moved
+            yield out
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.select(*keys).schema.fields)
+    fit_rows = sums.mapInPandas(fitted, f"{kinds}, coefficients array<double>, sigma double, slope_changes long")
+    years = F.explode(F.sequence(F.lit(p.current_year + 1), F.lit(p.current_year + p.horizon)))
+    fut = fit_rows.select("*", years.alias("year"))
+    yhat = sum((F.col("coefficients")[i] * c for i, c in enumerate(features(F.col("year")))), F.lit(0.0))
+    sigma = F.when(~F.isnan("sigma"), F.col("sigma"))
+    floor = lambda c: F.when(c.isNotNull(), F.greatest(c, F.lit(0.0)))
+    return _out(fut.select(*keys, "year", floor(yhat).alias("predicted_funding"), floor(yhat - z * sigma).alias("lower_bound"),
+                           floor(yhat + z * sigma).alias("upper_bound"), "slope_changes"), keys)

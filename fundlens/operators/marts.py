@@ -200,7 +200,7 @@ def joint_top(projects: DataFrame, k: int = 30, n_states: int = 5) -> DataFrame:
 def summary_stats(projects: DataFrame, population: DataFrame | None = None) -> DataFrame:
     """One row of headline figures; the three "top" names come from bounded top-1 marts.
 
-    Everything is one global aggregate over ``projects`` plus three scalar subqueries.
+    One global aggregate over ``projects`` plus scalar subqueries; the median is a distributed selection.
     """
     top_ministry = A.top_k(A.funding_stats(projects, ["ministry"], avg=None), 1, "total_funding",
                            ["ministry"]).select("ministry")
@@ -216,10 +216,10 @@ def summary_stats(projects: DataFrame, population: DataFrame | None = None) -> D
         N.iso_datetime(F.min("start_date")).alias("earliest_start"),
         N.iso_datetime(F.max("start_date")).alias("latest_start"),
         (N.money(F.sum("amount")) / F.count(F.lit(1))).alias("avg_project_funding"),
-        F.median(F.col("amount").cast("double")).alias("median_project_funding"),
     )
     return base.select(
         "*",
+        A.median(projects, "amount").scalar().alias("median_project_funding"),
         F.col("unique_ministries").alias("ministry_count"),
         state_count.alias("state_count"),
         top_ministry.scalar().alias("top_ministry"),

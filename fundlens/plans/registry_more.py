@@ -187,6 +187,12 @@ def q_forecast_by_ministry(spark, sf):
     return rounded(FC.trend_forecast(projects(spark, sf), P, ["ministry"]), _MONEY, 2)
 
 
+@query("forecast_changepoints")
+def q_forecast_changepoints(spark, sf):
+    df = FC.changepoint_forecast(projects(spark, sf), P, ["ministry"])
+    return rounded(df, ["predicted_funding", "lower_bound", "upper_bound"], 2)
+
+
 @query("forecast_backtest")
 def q_forecast_backtest(spark, sf):
     df = FC.backtest(projects(spark, sf), P)

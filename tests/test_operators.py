@@ -181,3 +181,63 @@ def test_snapshot_without_keys_and_repeats(spark):
     assert (s.added, s.removed, s.added_min_pos, s.added_max_pos, s.placement) == (2, 2, 4, 5, "appended")
     none = SN.diff_summary(old.limit(0), new.limit(0)).first()
     assert (none.old_rows, none.new_rows, none.added, none.removed) == (0, 0, 0, 0)
+
+
+def test_median_is_exact_without_one_buffer(spark):
+    import random
+    import statistics
+    rng = random.Random(3)
+    lists = [[], [5.0], [1.0, 2.0], [7.0] * 9, [-3.5, 0.0, 0.01, -0.01], [round(rng.lognormvariate(10, 4), 2) for _ in range(999)],
+             [round(rng.uniform(-1e6, 1e6), 2) for _ in range(1000)], [0.0] * 500 + [1e12] * 500]
+    for values in lists:
+        df = spark.createDataFrame([(Decimal(str(v)),) for v in values] + [(None,)], "amount decimal(18,2)")
+        got = A.median(df, "amount").first()["median"]
+        assert got == (float(statistics.median(map(float, values))) if values else None)
+    plan = A.median(df, "amount")._jdf.queryExecution().toString()
+    assert "ObjectHashAggregate" not in plan
+
+
+def brute_lasso(x, y, penalty):
+    """Proximal gradient on the full problem, intercept and slope free."""
+    import numpy as np
+    b, step = np.zeros(x.shape[1]), 1 / np.linalg.norm(x, 2) ** 2
+    v, t = b.copy(), 1.0
+    for _ in range(200_000):
+        new = v - step * (x.T @ (x @ v - y))
+        new[2:] = np.sign(new[2:]) * np.maximum(np.abs(new[2:]) - step * penalty, 0)
+        t, last = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+        v, b = new + (last - 1) / t * (new - b), new
+    return b
+
+
+def test_changepoint_forecast(spark):
+    import numpy as np
+    p = Params(current_year=2024, train_from=2000, outlier_years=(2010,), horizon=3)
+    rng = np.random.default_rng(8)
+    rows = []
+    for ministry, turn in (("BMBF", 2012), ("BMWK", 2006)):
+        for y in range(2000, 2025):
+            level = 100 + 3 * (y - 2000) + (25 * (y - turn) if y > turn else 0) + rng.integers(-20, 20)
+            rows.append({"ministry": ministry, "start_date": dt.date(y, 3, 1), "amount": Decimal(int(level))})
+    rows.append({"ministry": "BMG", "start_date": dt.date(2020, 1, 1), "amount": Decimal(7)})
+    df = proj(spark, rows)
+    got = {(r["ministry"], r["year"]): r for r in FC.changepoint_forecast(df, p, ["ministry"]).collect()}
+    day = lambda y: (dt.date(y, 1, 1) - dt.date(1970, 1, 1)).days
+    time = lambda y: (day(y) - day(2000)) / (day(2024) - day(2000))
+    knots = FC.changepoint_years(p, 8)
+    feat = lambda y: [1.0, time(y), *[max(time(y) - time(k), 0.0) for k in knots]]
+    for m in ("BMBF", "BMWK"):
+        at = [(r["start_date"].year, float(r["amount"])) for r in rows if r["ministry"] == m and r["start_date"].year != 2010]
+        x, y = np.array([feat(a) for a, _ in at]), np.array([b for _, b in at])
+        b = brute_lasso(x, y / y.max(), 0.05)
+        assert got[m, 2025]["slope_changes"] > 0
+        for year in (2025, 2026, 2027):
+            want = float(np.dot(feat(year), b) * y.max())
+            assert got[m, year]["predicted_funding"] == pytest.approx(want, rel=1e-4)
+            assert got[m, year]["lower_bound"] < want < got[m, year]["upper_bound"]
+    assert got["BMG", 2025]["lower_bound"] is None                # one point: no interval
+    line = {(r["ministry"], r["year"]): r["predicted_funding"] for r in FC.trend_forecast(df, p, ["ministry"]).collect()}
+    for r in FC.changepoint_forecast(df, p, ["ministry"], changepoints=0).collect():
+        if r["ministry"] != "BMG":
+            assert r["predicted_funding"] == pytest.approx(line[r["ministry"], r["year"]], rel=1e-9) and r["slope_changes"] == 0
+    assert FC.changepoint_forecast(df.limit(0), p, ["ministry"]).count() == 0

@@ -19,8 +19,11 @@ QUERIES = registry()
 ORACLES = oracles()
 
 
+BRUTE = {"forecast_changepoints"}     # an iterative fit, beyond SQL: held against numpy in test_operators
+
+
 def test_every_query_has_an_oracle():
-    assert sorted(QUERIES) == sorted(ORACLES)
+    assert sorted(set(QUERIES) - BRUTE) == sorted(ORACLES)
     assert set(QUERIES) <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
 
 
@@ -34,7 +37,7 @@ def con():
     return duck(SF_SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, name):
     sdf = QUERIES[name](spark, SF_SMALL)
     srows = [tuple(r) for r in sdf.collect()]
