@@ -2,12 +2,12 @@
 
 Set differences are anti joins on the key (both sides shuffled by key, or the smaller one
 broadcast by AQE), never driver-side sets. File positions come from the persisted
-``row_id``, so "where were the new rows put" needs only min/max aggregates.
+``row_id``, so "where were the new rows put" needs only min/max aggregates and two counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundlens.operators import aggregate as A
@@ -28,11 +28,29 @@ def removed(old: DataFrame, new: DataFrame, key: str = "fkz") -> DataFrame:
     return old.where(F.col(key).isNotNull()).join(keys(new, key), key, "left_anti")
 
 
+def rows_before(df: DataFrame, row_id: DataFrame) -> Column:
+    """How many rows of ``df`` stand before the row whose row_id is the one value of ``row_id``: its position from
+    0 in the file. (row_id itself grows in file order but jumps where the file was split for reading.)"""
+    return df.where(F.col("row_id") < row_id.scalar()).agg(F.count("*")).scalar()
+
+
+def positions(df: DataFrame) -> DataFrame:
+    """``df`` with ``position``: 0..n-1 in order of row_id, in two passes. Rows are counted by blocks of 2^16
+    consecutive row_ids; prefix sums over the blocks (one row for up to 65,536 rows) give each block's
+    first position, to which a row adds its rank inside the block. No window goes over the whole file."""
+    block = df.withColumn("_block", F.shiftright("row_id", 16))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    first = (block.groupBy("_block").agg(F.count("*").alias("_n"))
+             .select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")))
+    rank = F.row_number().over(Window.partitionBy("_block").orderBy("row_id")) - 1
+    return block.join(first, "_block").select(*df.columns, (F.col("_first") + rank).alias("position"))
+
+
 def diff_summary(old: DataFrame, new: DataFrame, key: str = "fkz") -> DataFrame:
     """Row counts, key uniqueness, added/removed counts and where the added rows sit.
 
     placement: ``appended`` if the last added row is the file's last row, ``prepended`` if
-    the first added row is the file's first row, else ``scattered``.
+    the first added row is the file's first row, else ``scattered``. Positions count from 0.
     """
     def by_key(df: DataFrame, side: str) -> DataFrame:
         return df.groupBy(key).agg(F.count(F.lit(1)).alias(f"{side}_n"), F.min("row_id").alias(f"{side}_lo"),
@@ -55,9 +73,11 @@ def diff_summary(old: DataFrame, new: DataFrame, key: str = "fkz") -> DataFrame:
                  .when(F.col("added_max_pos") == F.col("_last"), F.lit("appended"))
                  .when(F.col("added_min_pos") == F.col("_first"), F.lit("prepended"))
                  .otherwise(F.lit("scattered")))
+    position = lambda c: F.when(F.col(c).isNotNull(), rows_before(new, s.select(c)))
     return s.select("old_rows", "new_rows", "old_unique", "new_unique", "added", "removed",
                     (F.col("new_rows") - F.col("old_rows")).alias("net_change"),
-                    "added_min_pos", "added_max_pos", placement.alias("placement"))
+                    position("added_min_pos").alias("added_min_pos"), position("added_max_pos").alias("added_max_pos"),
+                    placement.alias("placement"))
 
 
 def key_order(old: DataFrame, new: DataFrame, key: str = "fkz", n: int = 10) -> DataFrame:

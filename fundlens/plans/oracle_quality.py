@@ -183,7 +183,8 @@ oracle("snapshot_added", with_projects(_SNAP, ADDED) + "SELECT fkz, row_id, star
 oracle("snapshot_removed", with_projects(_SNAP, REMOVED) + "SELECT fkz, row_id FROM removed")
 oracle("snapshot_positions", with_projects(_SNAP, ADDED, REMOVED) + """
 SELECT o.old_rows, n.new_rows, o.old_unique, n.new_unique, a.added, r.removed, n.new_rows - o.old_rows AS net_change,
-       a.mn AS added_min_pos, a.mx AS added_max_pos,
+       CASE WHEN a.mn IS NOT NULL THEN (SELECT count(*) FROM snap_new WHERE row_id < a.mn) END AS added_min_pos,
+       CASE WHEN a.mx IS NOT NULL THEN (SELECT count(*) FROM snap_new WHERE row_id < a.mx) END AS added_max_pos,
        CASE WHEN a.added = 0 THEN 'none' WHEN a.mx = n.last THEN 'appended' WHEN a.mn = n.first THEN 'prepended'
             ELSE 'scattered' END AS placement
 FROM (SELECT count(*) AS old_rows, count(DISTINCT fkz) AS old_unique FROM snap_old) o,
@@ -191,6 +192,9 @@ FROM (SELECT count(*) AS old_rows, count(DISTINCT fkz) AS old_unique FROM snap_o
      (SELECT count(*) AS added, min(row_id) AS mn, max(row_id) AS mx FROM added) a,
      (SELECT count(*) AS removed FROM removed) r
 """)
+oracle("snapshot_file_positions", with_projects(_SNAP) + """
+SELECT fkz, row_number() OVER (ORDER BY row_id) - 1 AS position FROM snap_new
+""")
 oracle("snapshot_key_order", with_projects(_SNAP, ADDED) + """
 SELECT * FROM (SELECT 'old_last' AS list, fkz FROM (SELECT DISTINCT fkz FROM snap_old WHERE fkz IS NOT NULL) k
                ORDER BY fkz DESC LIMIT 10) a

@@ -145,6 +145,11 @@ def q_snapshot_positions(spark, sf):
     return SN.diff_summary(*_pair(spark, sf))
 
 
+@query("snapshot_file_positions")
+def q_snapshot_file_positions(spark, sf):
+    return SN.positions(_pair(spark, sf)[1].select("fkz", "row_id")).select("fkz", "position")
+
+
 @query("snapshot_key_order")
 def q_snapshot_key_order(spark, sf):
     return SN.key_order(*_pair(spark, sf))

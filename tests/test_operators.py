@@ -178,7 +178,7 @@ def test_snapshot_without_keys_and_repeats(spark):
     new = spark.createDataFrame([("a", 1), (None, 2), (None, 3), ("c", 4), ("c", 5)], "fkz string, row_id long")
     s = SN.diff_summary(old, new).first()
     assert (s.old_rows, s.new_rows, s.old_unique, s.new_unique) == (4, 5, 2, 2)
-    assert (s.added, s.removed, s.added_min_pos, s.added_max_pos, s.placement) == (2, 2, 4, 5, "appended")
+    assert (s.added, s.removed, s.added_min_pos, s.added_max_pos, s.placement) == (2, 2, 3, 4, "appended")
     none = SN.diff_summary(old.limit(0), new.limit(0)).first()
     assert (none.old_rows, none.new_rows, none.added, none.removed) == (0, 0, 0, 0)
 
@@ -241,3 +241,22 @@ def test_changepoint_forecast(spark):
         if r["ministry"] != "BMG":
             assert r["predicted_funding"] == pytest.approx(line[r["ministry"], r["year"]], rel=1e-9) and r["slope_changes"] == 0
     assert FC.changepoint_forecast(df.limit(0), p, ["ministry"]).count() == 0
+
+
+def test_positions_are_dense_over_several_splits(spark, scratch):
+    path = f"{scratch}/rows.csv"
+    with open(path, "w") as f:
+        f.writelines(f"k{i:05d}\n" for i in range(3000))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = spark.read.schema("fkz string").csv(path).withColumn("row_id", F.monotonically_increasing_id())
+        assert df.agg(F.countDistinct(F.shiftright("row_id", 33))).first()[0] > 3
+        got = {r["position"]: r["fkz"] for r in SN.positions(df).collect()}
+        assert got == {i: f"k{i:05d}" for i in range(3000)}
+        old_file = df.where("fkz not in ('k01500', 'k02400')")
+        s = SN.diff_summary(old_file, df).first()
+        assert (s["added"], s["added_min_pos"], s["added_max_pos"], s["placement"]) == (2, 1500, 2400, "scattered")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert SN.positions(df.limit(0)).count() == 0
