@@ -43,10 +43,13 @@ def missing_token_to_null(c) -> Column:
 
 
 def parse_amount(c) -> Column:
-    """Locale number ``1.234,56`` -> DECIMAL(18,2); blank/invalid -> 0 (B1)."""
-    s = unwrap(c)
-    num = F.regexp_replace(F.regexp_replace(s, r"\.", ""), ",", ".")
-    return F.coalesce(num.try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
+    """Locale number ``1.234,56`` -> DECIMAL(28,2); blank/invalid -> 0 (B1).
+
+    28 digits leave room for every amount of up to 26 integer digits and for the exact
+    sum of 10^10 of them in Spark's widest decimal.
+    """
+    num = F.replace(F.replace(unwrap(c), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    return F.coalesce(num.try_cast("decimal(28,2)"), F.lit(0).cast("decimal(28,2)"))
 
 
 def parse_date(c) -> Column:

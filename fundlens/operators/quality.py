@@ -92,63 +92,126 @@ def recipient_lookup(projects: DataFrame, needle: str) -> DataFrame:
             .agg(N.money(F.sum("amount")).alias("funding"), F.count("fkz").alias("projects")))
 
 
-def check_row(name: str, severity: str, expected: Column, actual: Column, passed: Column, src: DataFrame) -> DataFrame:
-    return src.select(F.lit(name).alias("name"), F.lit(severity).alias("severity"),
-                      expected.cast("double").alias("expected"), actual.cast("double").alias("actual"),
-                      passed.alias("passed"))
-
-
 def _scalar(df: DataFrame, agg: Column) -> Column:
     return df.agg(agg).scalar()
 
 
-def conservation_checks(projects: DataFrame, population: DataFrame | None = None, k_sponsors: int = 20,
-                        m: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Project counts of each mart add up to the row count.
+def check_table(one: DataFrame, checks: list[tuple]) -> DataFrame:
+    """(name, severity, expected, actual, passed) rows from a one-row table of totals.
 
-    ``m`` = published marts (read back from storage); missing ones are computed.
-    Output: name, severity, expected, actual, passed.
+    ``checks``: (name, severity, expected, actual, rule), the rule a function of the two values.
+    Values become columns first, so a subquery among them is evaluated once.
     """
-    m = m or {}
+    one = one.select(*[c.cast("double").alias(f"_{side}{i}") for i, (_, _, e, a, _) in enumerate(checks)
+                       for side, c in (("e", e), ("a", a))])
+    rows = [F.struct(F.lit(name).alias("name"), F.lit(severity).alias("severity"), F.col(f"_e{i}").alias("expected"),
+                     F.col(f"_a{i}").alias("actual"), rule(F.col(f"_e{i}"), F.col(f"_a{i}")).alias("passed"))
+            for i, (name, severity, _, _, rule) in enumerate(checks)]
+    return one.select(F.inline(F.array(*rows)))
+
+
+def equal(expected: Column, actual: Column) -> Column:
+    return actual == expected
+
 
-    def mart(name, build):
-        return m[name] if name in m else build()
+def at_most(expected: Column, actual: Column) -> Column:
+    return actual <= expected
 
-    one = projects.agg(F.count(F.lit(1)).alias("rows"), N.money(F.sum("amount")).alias("funding"))
-    rows, funding = _scalar(projects, F.count(F.lit(1))), _scalar(projects, N.money(F.sum("amount")))
 
-    def count_check(name, mart, col="project_count", op="eq"):
-        actual = _scalar(mart, F.coalesce(F.sum(col), F.lit(0)))
-        passed = (actual == rows) if op == "eq" else (actual <= rows)
-        return check_row(name, "error", rows, actual, passed, one)
+def within(pct: float):
+    """Rule: the values differ by less than ``pct`` percent of the expected one."""
+    return lambda e, a: F.coalesce(F.try_divide(F.abs(a - e), F.abs(e)) * 100.0 < pct, a == e)
+
+
+# part -> its keys in one pass over the register
+_PARTS = {"all": [], "ministry": ["ministry"], "state": ["domestic", "state"], "year": ["start_year"],
+          "type": ["funding_type"], "profile": ["profile"], "joint": ["is_joint"], "sponsor": ["sponsor"],
+          "bin": ["bin_id"]}
+
+
+def one_pass_totals(projects: DataFrame, k_sponsors: int = 20, parts: list[str] | None = None) -> DataFrame:
+    """One row: the register's totals and what each mart would show of them, from one scan.
+
+    The marts' group-bys run as GROUPING SETS: a project becomes one short row per part, reduced
+    by a partial aggregate before the shuffle. The sponsors' places are taken among the groups.
+    """
+    parts = parts or list(_PARTS)
+    sets = [_PARTS[n] for n in parts]
+    keys = list(dict.fromkeys(c for s in sets for c in s))
+    base = projects.select(
+        "ministry", "state", "start_year", "funding_type", "profile", "is_joint", "sponsor", "amount",
+        (~N.not_domestic("country")).alias("domestic"), D.bin_id().alias("bin_id")).select(*keys, "amount")
+    groups = base.groupingSets(sets, *keys).agg(
+        F.grouping_id().alias("part"), F.count(F.lit(1)).alias("projects"), F.count("amount").alias("n"),
+        F.sum("amount").alias("funding"))
+    ids = {n: sum(1 << (len(keys) - 1 - i) for i, c in enumerate(keys) if c not in _PARTS[n]) for n in parts}
+    if "sponsor" in parts:
+        place = Window.partitionBy("part", F.col("sponsor").isNull()).orderBy(N.money("funding").desc(), "sponsor")
+        groups = groups.withColumn("place", F.row_number().over(place))    # as many rows as a part has keys
+
+    def total(part: str, what: str, where: Column | None = None) -> Column:
+        if part not in parts:
+            return F.lit(None).cast("double")
+        cond = F.col("part") == ids[part]
+        picked = F.sum(F.when(cond if where is None else cond & where, F.col(what)))
+        return F.coalesce(picked, F.lit(0)).cast("double")
+
+    known = {c: F.col(c).isNotNull() if c in keys else None for c in ("ministry", "start_year", "is_joint", "bin_id")}
+    listed = (F.col("place") <= k_sponsors) & N.present("sponsor") & N.present_strict("sponsor") if "sponsor" in parts else None
+    return groups.agg(
+        total("all", "projects").alias("projects"), total("all", "funding").alias("funding"),
+        total("ministry", "n", known["ministry"]).alias("ministry_n"),
+        total("ministry", "funding", known["ministry"]).alias("ministry_f"),
+        total("state", "n", F.col("domestic") & N.present("state")).alias("state_n"),
+        total("state", "projects", ~F.col("domestic")).alias("abroad_n"),
+        total("year", "n", known["start_year"]).alias("year_n"),
+        total("year", "funding", known["start_year"]).alias("year_f"),
+        total("type", "n", N.present("funding_type") if "type" in parts else None).alias("type_n"),
+        total("profile", "n", N.present("profile") if "profile" in parts else None).alias("profile_n"),
+        total("joint", "projects", known["is_joint"]).alias("joint_n"),
+        total("sponsor", "n", listed).alias("sponsor_n"),
+        total("bin", "projects", known["bin_id"]).alias("bin_n"))
+
+
+# published mart -> (part it stands for, {total: measure of the mart})
+_MART_TOTALS = {
+    "ministry_funding": ("ministry", {"ministry_n": "project_count", "ministry_f": "total_funding"}),
+    "state_funding": (None, {"state_n": "project_count"}),
+    "yearly_totals": ("year", {"year_n": "project_count", "year_f": "total_funding"}),
+    "funding_types": ("type", {"type_n": "project_count"}),
+    "funding_profiles": ("profile", {"profile_n": "project_count"}),
+    "sponsor_top": ("sponsor", {"sponsor_n": "project_count"}),
+    "duration_histogram": ("bin", {"bin_n": "count"}),
+}
+
+
+def conservation_checks(projects: DataFrame, k_sponsors: int = 20, m: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Project counts of each mart add up to the row count.
 
-    def funding_check(name, mart, col="total_funding"):
+    One scan of the register whatever the number of checks. ``m`` = published marts (read back
+    from storage): their sums are read from them; the totals of missing ones come from the scan.
+    Output: name, severity, expected, actual, passed.
+    """
+    m = {n: df for n, df in (m or {}).items() if n in _MART_TOTALS}
+    read = {_MART_TOTALS[n][0] for n in m}
+    t = one_pass_totals(projects, k_sponsors, [n for n in _PARTS if n not in read])
+    for name, df in m.items():
         # exact re-sum of the published group totals
-        actual = _scalar(mart, F.coalesce(F.sum(F.col(col).cast("decimal(38,2)")), F.lit(0)).cast("double"))
-        passed = F.coalesce(F.try_divide(F.abs(actual - funding), funding) * 100.0 < 0.01, actual == funding)
-        return check_row(name, "error", funding, actual, passed, one)
-
-    states = mart("state_funding", lambda: M.state_funding(projects, population))
-    geo_actual = (_scalar(states, F.coalesce(F.sum("project_count"), F.lit(0)))
-                  + _scalar(M.international_totals(projects), F.first("total_projects")))
-    joint = M.joint_summary(projects)
-    joint_actual = _scalar(joint, F.first(F.col("joint_project_count") + F.col("individual_project_count")))
-    ministries = mart("ministry_funding", lambda: M.ministry_funding(projects))
-    yearly = mart("yearly_totals", lambda: TR.yearly_totals(projects))
-    checks = [
-        count_check("ministry_projects", ministries),
-        funding_check("ministry_funding", ministries),
-        check_row("geographic_projects", "error", rows, geo_actual, geo_actual == rows, one),
-        count_check("yearly_projects", yearly),
-        funding_check("yearly_funding", yearly),
-        count_check("funding_type_projects", mart("funding_types", lambda: M.funding_types(projects))),
-        count_check("funding_profile_projects", mart("funding_profiles", lambda: M.funding_profiles(projects))),
-        check_row("joint_projects", "error", rows, joint_actual, joint_actual == rows, one),
-        count_check("sponsor_topk_projects", mart("sponsor_top", lambda: M.sponsor_top(projects, k_sponsors)), op="le"),
-        count_check("duration_bins_projects", mart("duration_histogram", lambda: D.duration_histogram(projects)),
-                    col="count", op="le"),
-    ]
-    return reduce(DataFrame.unionByName, checks)
+        for col, measure in _MART_TOTALS[name][1].items():
+            t = t.withColumn(col, _scalar(df, F.coalesce(F.sum(F.col(measure).cast("decimal(38,2)")), F.lit(0)).cast("double")))
+    c = F.col
+    return check_table(t, [
+        ("ministry_projects", "error", c("projects"), c("ministry_n"), equal),
+        ("ministry_funding", "error", c("funding"), c("ministry_f"), within(0.01)),
+        ("geographic_projects", "error", c("projects"), c("state_n") + c("abroad_n"), equal),
+        ("yearly_projects", "error", c("projects"), c("year_n"), equal),
+        ("yearly_funding", "error", c("funding"), c("year_f"), within(0.01)),
+        ("funding_type_projects", "error", c("projects"), c("type_n"), equal),
+        ("funding_profile_projects", "error", c("projects"), c("profile_n"), equal),
+        ("joint_projects", "error", c("projects"), c("joint_n"), equal),
+        ("sponsor_topk_projects", "error", c("projects"), c("sponsor_n"), at_most),
+        ("duration_bins_projects", "error", c("projects"), c("bin_n"), at_most),
+    ])
 
 
 def reconcile_groups(published: DataFrame, source: DataFrame, key: str, measure: str,
@@ -240,80 +303,73 @@ def schema_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def published_checks(projects: DataFrame, m: dict[str, DataFrame], population: DataFrame | None = None,
                      reference_population: DataFrame | None = None) -> DataFrame:
-    """Published marts against the normalised table (J5-J15): one checks table.
+    """Published marts against the normalised table (J5-J15, C17): one checks table.
 
     ``m`` holds the marts a run wrote (read back from storage). Output: name, severity,
     expected, actual, passed. Errors are totals that must agree; warnings are plausibility
-    checks (January peak, top lists, decade shares, per-capita, state trend coverage).
+    checks (January peak, top lists, decade shares, per-capita, coverage of the entity trends).
     """
     src = projects
-    one = src.agg(F.count(F.lit(1)).alias("rows"))
-    rows = _scalar(src, F.count(F.lit(1)))
-    funding = _scalar(src, N.money(F.sum("amount")))
-    summ = m["summary_stats"]
+    one = src.agg(F.count(F.lit(1)).alias("projects"), N.money(F.sum("amount")).alias("funding"),
+                  F.countDistinct("recipient").alias("recipients"),
+                  *[F.countDistinct(F.when(N.present(c), F.col(c))).alias(f"n_{c}") for c in ("state", "city", "recipient")])
+    summ, none = m["summary_stats"], F.lit(0)
 
-    def within(a, b, pct):
-        return F.coalesce(F.try_divide(F.abs(a - b), F.abs(b)) * 100.0 < pct, a == b)
-
-    def failed_count(df: DataFrame) -> Column:
+    def failed(df: DataFrame) -> Column:
         return _scalar(df, F.count_if(~F.col("passed")))
 
-    checks = []
-    s_rows = _scalar(summ, F.first("total_projects"))
-    s_fund = _scalar(summ, F.first("total_funding"))
-    checks.append(check_row("summary_projects", "error", rows, s_rows, s_rows == rows, one))          # J6
-    checks.append(check_row("summary_funding", "error", funding, s_fund, within(s_fund, funding, 0.01), one))  # J5
-    ministry_src = src.where(F.col("ministry").isNotNull()).groupBy("ministry").agg(
-        N.money(F.sum("amount")).alias("total_funding"))
-    rec = reconcile_groups(m["ministry_funding"].withColumnRenamed("code", "ministry"), ministry_src,
-                           "ministry", "total_funding")
-    bad = failed_count(rec)
-    checks.append(check_row("ministry_groups", "error", F.lit(0), bad, bad == 0, one))                # J7
-    rec_src = src.where(F.col("recipient").isNotNull()).groupBy(F.col("recipient").alias("name")).agg(
-        N.money(F.sum("amount")).alias("total_funding"))
-    top5 = A.top_k(m["recipients_top_funding"], 5, "total_funding", ["name"])
-    rec5 = reconcile_groups(top5, rec_src.join(F.broadcast(top5.select("name")), "name", "left_semi"),
-                            "name", "total_funding")
-    bad = failed_count(rec5)
-    checks.append(check_row("recipients_top5", "warning", F.lit(0), bad, bad == 0, one))              # J7
-    st5 = A.top_k(m["state_funding"], 5, "total_funding", ["name"])
-    st_src = (src.where((F.col("country") == "Deutschland") & F.col("state").isNotNull())
-              .groupBy(F.col("state").alias("name")).agg(N.money(F.sum("amount")).alias("total_funding")))
-    bad = failed_count(reconcile_groups(st5, st_src.join(F.broadcast(st5.select("name")), "name", "left_semi"),
-                                        "name", "total_funding"))
-    checks.append(check_row("states_top5", "warning", F.lit(0), bad, bad == 0, one))                  # J7
-    distinct = _scalar(src, F.countDistinct("recipient"))
-    s_unique = _scalar(summ, F.first("unique_recipients"))
-    checks.append(check_row("unique_recipients", "error", distinct, s_unique, distinct == s_unique, one))  # J8
+    def first(col: str) -> Column:
+        return _scalar(summ, F.first(col))
+
+    def sums(df: DataFrame, key: str) -> DataFrame:
+        return df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("name")).agg(N.money(F.sum("amount")).alias("total_funding"))
+
+    def top5(mart: str, source: DataFrame) -> Column:
+        top = A.top_k(m[mart], 5, "total_funding", ["name"])
+        return failed(reconcile_groups(top, source.join(F.broadcast(top.select("name")), "name", "left_semi"), "name", "total_funding"))
+
+    ministries = reconcile_groups(m["ministry_funding"].select(F.col("code").alias("name"), "total_funding"),
+                                  sums(src, "ministry"), "name", "total_funding")
     mon = m["monthly_distribution"]
-    jan = _scalar(mon, F.max(F.when(F.col("month") == 1, F.col("project_count"))))
+    january = _scalar(mon, F.max(F.when(F.col("month") == 1, F.col("project_count"))))
     other = _scalar(mon, F.max(F.when(F.col("month") != 1, F.col("project_count"))))
-    checks.append(check_row("january_highest", "warning", other, jan, F.coalesce(jan > other, F.lit(False)), one))  # J10
-    sp_src = src.groupBy("sponsor").agg(N.money(F.sum("amount")).alias("funding"))
-    bad = failed_count(rank_amounts(m["sponsor_top"], sp_src, "total_funding", "funding", "code", "sponsor", 3))
-    checks.append(check_row("sponsors_top3", "warning", F.lit(0), bad, bad == 0, one))                # J11
-    dec = m["decade_ministry_share"].groupBy("decade").agg(F.sum("share_pct").alias("s"))
-    bad = _scalar(dec, F.count_if((F.col("s") <= 99.9) | (F.col("s") >= 100.1)))
-    checks.append(check_row("decade_shares_sum_100", "warning", F.lit(0), bad, bad == 0, one))        # J12
-    kt = m["keyword_trends"].groupBy("keyword").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("total_funding").isNull()
-                                                  | F.col("total_projects").isNull()).alias("missing"))
-    bad = _scalar(kt, F.count_if(F.col("missing") > 0)) + F.when(_scalar(kt, F.count(F.lit(1))) == 0, 1).otherwise(0)
-    checks.append(check_row("keyword_trends_structure", "error", F.lit(0), bad, bad == 0, one))       # J13
-    et = (m["entity_trends_state"].groupBy("name").agg(F.first("total_funding").alias("trend"))
-          .join(m["state_funding"].select("name", F.col("total_funding").alias("geo")), "name"))
-    bad = _scalar(et, F.count_if(F.try_divide(F.abs(F.col("trend") - F.col("geo")), F.col("geo")) * 100.0 > 20.0))
-    checks.append(check_row("state_trends_vs_geo", "warning", F.lit(0), bad, bad == 0, one))          # J14, C17
-    ref = reference_population if reference_population is not None else population
+    sponsors = rank_amounts(m["sponsor_top"], src.groupBy("sponsor").agg(N.money(F.sum("amount")).alias("funding")),
+                            "total_funding", "funding", "code", "sponsor", 3)
+    decades = m["decade_ministry_share"].groupBy("decade").agg(F.sum("share_pct").alias("s"))
+    words = m["keyword_trends"].groupBy("keyword").agg(
+        F.count_if(F.col("total_funding").isNull() | F.col("total_projects").isNull()).alias("missing"))
+    bad_words = _scalar(words, F.when(F.count(F.lit(1)) == 0, 1).otherwise(F.count_if(F.col("missing") > 0)))
+    geo = (m["entity_trends_state"].groupBy("name").agg(F.first("total_funding").alias("trend"))
+           .join(m["state_funding"].select("name", F.col("total_funding").alias("geo")), "name"))
+    far = F.try_divide(F.abs(F.col("trend") - F.col("geo")), F.col("geo")) * 100.0 > 20.0
     st = m["state_funding"].where(F.col("population").isNotNull())
-    n_pop = _scalar(st, F.count(F.lit(1)))
-    pc_bad = _scalar(st, F.count_if(F.abs(F.try_divide(F.col("total_funding"), F.col("population"))
-                                          - F.col("per_capita_funding")) >= 0.01))
-    checks.append(check_row("per_capita_formula", "warning", F.lit(0), pc_bad, pc_bad == 0, one))     # J15
-    checks.append(check_row("states_with_population", "error", F.lit(16), n_pop, n_pop >= 16, one))  # J15
+    per_capita = F.abs(F.try_divide(F.col("total_funding"), F.col("population")) - F.col("per_capita_funding")) >= 0.01
+
+    def but_one(expected: Column, actual: Column) -> Column:      # a blank label may take a place
+        return (actual <= expected) & (actual >= expected - 1)
+
+    checks = [
+        ("summary_projects", "error", F.col("projects"), first("total_projects"), equal),                        # J6
+        ("summary_funding", "error", F.col("funding"), first("total_funding"), within(0.01)),                    # J5
+        ("ministry_groups", "error", none, failed(ministries), equal),                                           # J7
+        ("recipients_top5", "warning", none, top5("recipients_top_funding", sums(src, "recipient")), equal),     # J7
+        ("states_top5", "warning", none, top5("state_funding", sums(M.domestic(src), "state")), equal),          # J7
+        ("unique_recipients", "error", F.col("recipients"), first("unique_recipients"), equal),                  # J8
+        ("january_highest", "warning", other, january, lambda e, a: F.coalesce(a > e, F.lit(False))),            # J10
+        ("sponsors_top3", "warning", none, failed(sponsors), equal),                                             # J11
+        ("decade_shares_sum_100", "warning", none,
+         _scalar(decades, F.count_if((F.col("s") <= 99.9) | (F.col("s") >= 100.1))), equal),                     # J12
+        ("keyword_trends_structure", "error", none, bad_words, equal),                                           # J13
+        ("state_trends_vs_geo", "warning", none, _scalar(geo, F.count_if(far)), equal),                          # J14, C17
+        *[(f"trend_{many}", "warning", F.least(F.lit(k), F.col(f"n_{c}")),
+           _scalar(m[f"entity_trends_{c}"], F.countDistinct("name")), but_one)                                   # J14
+          for c, many, k in (("state", "states", 20), ("city", "cities", 30), ("recipient", "recipients", 50))],
+        ("per_capita_formula", "warning", none, _scalar(st, F.count_if(per_capita)), equal),                     # J15
+        ("states_with_population", "error", F.lit(16), _scalar(st, F.count(F.lit(1))), lambda e, a: a >= e),     # J15
+    ]
+    ref = reference_population if reference_population is not None else population
     if ref is not None:
-        mism = _scalar(st.join(ref.withColumnRenamed("state", "name")
-                               .withColumnRenamed("population", "ref"), "name"),
-                       F.count_if(F.col("population") != F.col("ref")))
-        checks.append(check_row("population_matches_reference", "warning", F.lit(0), mism, mism == 0, one))
-    return reduce(DataFrame.unionByName, checks)
+        both = st.join(ref.select(F.col("state").alias("name"), F.col("population").alias("ref")), "name")
+        checks.append(("population_matches_reference", "warning", none,
+                       _scalar(both, F.count_if(F.col("population") != F.col("ref"))), equal))
+    return check_table(one, checks)

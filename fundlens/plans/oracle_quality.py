@@ -7,6 +7,7 @@ from fundlens.plans.oracle import POPULATION, STATS, STATS_NO_AVG, oracle, prese
 from fundlens.plans.oracle_more import entity_sql
 from fundlens.plans.params import DRIVER_PARAMS as P
 from fundlens.plans.registry_quality import LOOKUP_NEEDLE, OUTLIER_HIGH, OUTLIER_LOW
+from fundlens.sources.register_csv import UNMAPPED
 from fundlens.sources.tables import SNAPSHOT_SQL
 
 
@@ -132,6 +133,72 @@ SELECT mart, shown, CAST(covered_projects AS BIGINT) AS covered_projects, tot.n
 FROM u, tot
 """)
 
+_ABROAD = f"""CASE WHEN country IS DISTINCT FROM 'Deutschland'
+                 THEN CASE WHEN {present('country')} AND trim(country) <> '' THEN 'foreign' ELSE 'blank_country' END END"""
+_LISTS = [  # list, places, keys, cause that keeps a project off, label shown
+    ("states", "NULL", ["state"], _ABROAD, present("state")),
+    ("cities_top30", "30", ["city", "state"], _ABROAD, "true"),
+    ("countries", "NULL", ["country"], "CASE WHEN country = 'Deutschland' THEN 'domestic' END",
+     f"{present('country')} AND trim(country) <> ''"),
+    ("sponsors_top20", "20", ["sponsor"], "NULL", f"{present('sponsor')} AND trim(sponsor) <> ''"),
+    ("recipients_top50", "50", ["recipient"], "NULL", "true"),
+    ("classifications_top50", "50", ["class_code"], "NULL", present("class_code")),
+    ("joint_top30", "30", ["joint_name"], "CASE WHEN NOT is_joint THEN 'not_joint' END", "true"),
+    ("funding_profiles", "NULL", ["profile"], "NULL", present("profile")),
+]
+oracle("omission_causes", with_projects("l AS (" + "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS list, CAST({k} AS INTEGER) AS k, {keys[0]} AS a, {keys[1] if len(keys) > 1 else chr(39) * 2} AS b, "
+    f"coalesce({cause}, CASE WHEN {' OR '.join(f'{c} IS NULL' for c in keys)} THEN 'missing' END) AS cause, {ok} AS ok, amount FROM projects"
+    for n, k, keys, cause, ok in _LISTS) + ")",
+    "off AS (SELECT list, cause, count(*) AS n, sum(amount) AS f FROM l WHERE cause IS NOT NULL GROUP BY list, cause)",
+    """ranked AS (
+  SELECT list, k, bool_and(ok) AS ok, count(*) AS n, sum(amount) AS f,
+         row_number() OVER (PARTITION BY list ORDER BY CAST(sum(amount) AS DOUBLE) DESC, a, b) AS place
+  FROM l WHERE cause IS NULL GROUP BY list, k, a, b
+)""", """parts AS (
+  SELECT * FROM off UNION ALL
+  SELECT list, CASE WHEN place > k THEN 'below_cut' WHEN NOT ok THEN 'blank' ELSE 'shown' END AS cause, n, f FROM ranked
+)""") + """
+SELECT list, cause, CAST(sum(n) AS BIGINT) AS projects, CAST(sum(f) AS DOUBLE) AS funding FROM parts GROUP BY list, cause
+UNION ALL SELECT list, 'total', CAST(sum(n) AS BIGINT), CAST(sum(f) AS DOUBLE) FROM parts GROUP BY list
+""")
+
+# The checked marts hold what the projects hold: 0 groups differ wherever two builds are compared.
+_PUBLISHED = [
+    ("summary_projects", "error", "(SELECT count(*) FROM projects)", "(SELECT count(*) FROM projects)", "a = e"),
+    ("summary_funding", "error", "(SELECT sum(amount) FROM projects)", "(SELECT sum(amount) FROM projects)", "a = e"),
+    ("ministry_groups", "error", "0", "0", "a = e"),
+    ("recipients_top5", "warning", "0", "0", "a = e"),
+    ("states_top5", "warning", "0", "0", "a = e"),
+    ("unique_recipients", "error", "(SELECT count(DISTINCT recipient) FROM projects)",
+     "(SELECT count(DISTINCT recipient) FROM projects)", "a = e"),
+    ("january_highest", "warning", "(SELECT max(n) FROM months WHERE m <> 1)", "(SELECT max(n) FROM months WHERE m = 1)",
+     "coalesce(a > e, false)"),
+    ("sponsors_top3", "warning", "0", "0", "a = e"),
+    ("decade_shares_sum_100", "warning", "0", """(SELECT count(*) FROM (
+       SELECT sum(amount) FILTER (WHERE ministry IS NOT NULL) / sum(amount) * 100.0 AS s FROM projects WHERE decade IS NOT NULL
+       GROUP BY decade) d WHERE s <= 99.9 OR s >= 100.1)""", "a = e"),
+    ("keyword_trends_structure", "error", "0", "0", "a = e"),
+    ("state_trends_vs_geo", "warning", "0", f"""(SELECT count(*) FROM (
+       SELECT state, sum(amount) AS trend, sum(amount) FILTER (WHERE country = 'Deutschland') AS geo FROM projects
+       WHERE state IS NOT NULL GROUP BY state ORDER BY trend DESC, state LIMIT 20) s
+       WHERE {present('state')} AND abs(trend - geo) / geo * 100.0 > 20.0)""", "a = e"),
+    *[(f"trend_{many}", "warning", f"least({k}, (SELECT count(DISTINCT {c}) FROM projects WHERE {present(c)}))",
+       f"(SELECT count(DISTINCT name) FROM ({entity_sql(c, k)}) t)", "a <= e AND a >= e - 1")
+      for c, many, k in (("state", "states", 20), ("city", "cities", 30), ("recipient", "recipients", 50))],
+    ("per_capita_formula", "warning", "0", "0", "a = e"),
+    ("states_with_population", "error", "16", f"""(SELECT count(DISTINCT p.state) FROM projects p JOIN population USING (state)
+       WHERE country = 'Deutschland' AND {present('p.state')})""", "a >= e"),
+    ("population_matches_reference", "warning", "0", "0", "a = e"),
+]
+oracle("published_checks", with_projects(POPULATION, """months AS (
+  SELECT start_month AS m, count(amount) AS n FROM projects WHERE start_month IS NOT NULL GROUP BY start_month
+)""", "c AS (" + "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS name, '{sev}' AS severity, CAST({e} AS DOUBLE) AS expected, CAST({a} AS DOUBLE) AS actual" for n, sev, e, a, _ in _PUBLISHED) + ")")
+    + "SELECT name, severity, expected, actual, CASE name " + " ".join(
+    f"WHEN '{n}' THEN {rule.replace('a ', 'actual ').replace('(a ', '(actual ').replace(' e', ' expected')}" for n, _, _, _, rule in _PUBLISHED)
+    + " END AS passed FROM c")
+
 oracle("sponsor_rank_check", with_projects(
     f"""a AS (SELECT sponsor AS key_a, row_number() OVER (ORDER BY t DESC, sponsor) AS rank FROM (
   SELECT * FROM (SELECT sponsor, CAST(sum(amount) AS DOUBLE) t FROM projects WHERE sponsor IS NOT NULL
@@ -170,7 +237,7 @@ FROM projects GROUP BY country
 """)
 
 oracle("schema_profile", with_projects() + "\nUNION ALL\n".join(
-    f"SELECT '{c}' AS \"column\", count({c}) AS non_null, count(DISTINCT {c}) AS \"distinct\" FROM projects"
+    f"SELECT '{c}' AS \"column\", 'string' AS dtype, count({c}) AS non_null, count(DISTINCT {c}) AS \"distinct\" FROM projects"
     for c in AUDIT_COLUMNS))
 
 # --- snapshot diff -------------------------------------------------------------------
@@ -315,3 +382,17 @@ SELECT fkz, raw_amount, CAST(amt AS DOUBLE) AS amount, raw_date, sd AS start_dat
        amt = CAST(o_totalprice AS DECIMAL(18,2)) AS amount_ok, sd = d AS date_ok
 FROM p
 """)
+
+# --- export round trip: what is read back, from the projects themselves ------------------------
+
+_FIELDS = ["fkz", "ministry", "unit", "sponsor", "work_unit", "recipient", "municipality_code", "municipality", "city", "state",
+           "country", "executing_body", "written", "class_code", "class_text", "start_date", "end_date", "amount", "profile",
+           "joint_name", "funding_type"]
+oracle("export_roundtrip", with_projects(r"""w AS (
+  SELECT *, regexp_replace(regexp_replace(title, '[\r\n]+', ' ', 'g'), '""" + UNMAPPED + r"""', '?', 'g') AS written FROM projects
+)""") + f"""
+SELECT row_id, 'read' AS status, CAST(amount AS DOUBLE) AS amount, start_date, end_date, start_year, is_joint,
+       sha256({" || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in _FIELDS)}) AS fields_sha256
+FROM w WHERE NOT coalesce(contains(written, ';'), false)
+UNION ALL SELECT row_id, 'rejected', NULL, NULL, NULL, NULL, NULL, NULL FROM w WHERE contains(written, ';')
+""")

@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from fundlens.functions import normalize as N
 from fundlens.operators import marts as M
+from fundlens.operators import omissions as OM
 from fundlens.operators import quality as Q
 from fundlens.operators import serving as SV
 from fundlens.operators import snapshot as SN
 from fundlens.operators import trends as TR
+from fundlens.plans import refresh as R
 from fundlens.plans.params import DRIVER_PARAMS as P
 from fundlens.plans.registry import driver_population, projects, query
+from fundlens.session import checkpoint_dir
+from fundlens.sources import register_csv as RC
 from fundlens.sources import tables
 
 OUTLIER_LOW, OUTLIER_HIGH = 1996, 2000
@@ -65,7 +69,7 @@ def q_reconcile_groups(spark, sf):
 
 @query("conservation_checks")
 def q_conservation_checks(spark, sf):
-    return Q.conservation_checks(projects(spark, sf), driver_population(spark, sf))
+    return Q.conservation_checks(projects(spark, sf))
 
 
 @query("validation_summary")
@@ -74,7 +78,7 @@ def q_validation_summary(spark, sf):
     rec = _reconcile(p).select(F.concat(F.lit("reconcile_"), F.col("key")).alias("name"),
                                F.lit("warning").alias("severity"), F.col("published").alias("expected"),
                                F.col("source").alias("actual"), "passed")
-    checks = Q.conservation_checks(p, driver_population(spark, sf)).unionByName(rec)
+    checks = Q.conservation_checks(p).unionByName(rec)
     return Q.severity_rollup(checks)
 
 
@@ -83,6 +87,18 @@ def q_topk_coverage(spark, sf):
     return Q.topk_coverage(projects(spark, sf))
 
 
+@query("omission_causes")
+def q_omission_causes(spark, sf):
+    return OM.causes(projects(spark, sf))
+
+
+@query("published_checks")
+def q_published_checks(spark, sf):
+    """The checked marts written to the shared folder, read back and held against the table they came from."""
+    out = f"{checkpoint_dir(spark)}/published-{R.run_id_now()}"
+    return R.published_checks(spark, projects(spark, sf), out, P, driver_population(spark, sf))
+
+
 @query("sponsor_rank_check")
 def q_sponsor_rank_check(spark, sf):
     p = projects(spark, sf)
@@ -119,7 +135,7 @@ def q_country_shares_text(spark, sf):
 
 @query("schema_profile")
 def q_schema_profile(spark, sf):
-    return Q.schema_profile(projects(spark, sf), Q.AUDIT_COLUMNS).select("column", "non_null", "distinct")
+    return Q.schema_profile(projects(spark, sf), Q.AUDIT_COLUMNS)
 
 
 # --- snapshot diff ---------------------------------------------------------------
@@ -223,3 +239,18 @@ def q_locale_roundtrip(spark, sf):
     return r.select("fkz", "raw_amount", N.money(amount).alias("amount"), "raw_date", date.alias("start_date"),
                     (amount == F.col("o_totalprice").cast("decimal(18,2)")).alias("amount_ok"),
                     (date == F.col("_d")).alias("date_ok"))
+
+
+@query("export_roundtrip")
+def q_export_roundtrip(spark, sf):
+    """Every project written as a line of the export and parsed by the ingest rules (A1-A6): the
+    number of cells, whether the line was rejected, and a digest of all fields read back."""
+    p = projects(spark, sf)
+    lay = RC.layout(RC.EXPORT_HEADER)
+    raw = RC.parse_lines(RC.export_lines(p), lay)
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in tables.PROJECT_COLUMNS[1:22]]
+    read = RC.with_row_id(RC.normalise(raw, lay)).select(
+        "row_id", F.lit("read").alias("status"), N.money("amount").alias("amount"), "start_date", "end_date", "start_year",
+        "is_joint", F.sha2(F.concat_ws("|", *fields), 256).alias("fields_sha256"))
+    bad = RC.rejects(raw, lay).select(F.col("_pos").alias("row_id"), F.lit("rejected").alias("status"))
+    return read.unionByName(bad, allowMissingColumns=True)

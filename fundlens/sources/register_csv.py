@@ -139,6 +139,48 @@ def raw_rows(spark: SparkSession, path: str, lay: Layout) -> DataFrame:
                      F.monotonically_increasing_id().alias("_pos"))
 
 
+# Header line of a written export: every required column, one of them a second time, and an unnamed one.
+EXPORT_HEADER = [f'="{name}"' for name, _ in REGISTER_COLUMNS] + [f'="{REGISTER_COLUMNS[0][0]}"', ""]
+# Fixed value: everything that Windows-1252 cannot hold (and NUL).
+UNMAPPED = r"[^\x01-\x7F\xA0-\xFF€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
+
+
+def _java_charset(spark: SparkSession, build):
+    """``build()`` with Java charset names allowed; the expressions it resolves keep the setting."""
+    key = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        return build()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def export_lines(projects: DataFrame) -> DataFrame:
+    """(row_id, line): every project as one Windows-1252 line of an export, as ``EXPORT_HEADER`` has it.
+
+    Cells are wrapped (``="..."``), a NULL is an empty cell, line breaks become a space and what the
+    charset lacks becomes ``?``. The format knows no quoting: a separator inside a cell makes a line
+    that the ingest rejects.
+    """
+    text = {"start_raw": N.german_date_text("start_date"), "end_raw": N.german_date_text("end_date"),
+            "amount_raw": N.german_number_text("amount")}
+    cells = [F.coalesce(F.concat(F.lit('="'), text[c] if c in text else F.col(c), F.lit('"')), F.lit(""))
+             for _, c in REGISTER_COLUMNS]
+    line = F.concat_ws(SEP, *cells, cells[0], F.lit(""))
+    line = F.regexp_replace(F.regexp_replace(line, r"[\r\n]+", " "), UNMAPPED, "?")
+    return _java_charset(projects.sparkSession, lambda: projects.select("row_id", F.encode(line, ENCODING).alias("line")))
+
+
+def parse_lines(lines: DataFrame, lay: Layout) -> DataFrame:
+    """The rows that :func:`raw_rows` gives for a file, from (row_id, line) of encoded lines."""
+    schema = ", ".join([f"_c{i} string" for i in range(lay.n_fields)] + [f"{CORRUPT} string"])
+    options = {"sep": SEP, "quote": "", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    text = _java_charset(lines.sparkSession, lambda: lines.select("row_id", F.decode("line", ENCODING).alias("line")))
+    return (text.select("row_id", F.from_csv("line", schema, options).alias("_r"))
+            .select("_r.*", F.lit("").alias("_file"), F.col("row_id").alias("_pos")))
+
+
 def _too_long(lay: Layout):
     return F.col(CORRUPT).isNotNull() & (F.size(F.split(F.col(CORRUPT), SEP, -1)) > lay.n_fields)
 

@@ -161,11 +161,12 @@ p0 AS (
     o.o_orderstatus AS funding_type
   FROM orders o
   LEFT JOIN li ON o.o_orderkey = li.l_orderkey
-  LEFT JOIN documents d ON o.o_orderkey = d.doc_id
+  LEFT JOIN (SELECT doc_id, min(text) AS text FROM documents GROUP BY doc_id) d ON o.o_orderkey = d.doc_id
   JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN nation n ON c.c_nationkey = n.n_nationkey
   JOIN region r ON n.n_regionkey = r.r_regionkey
-  LEFT JOIN part pa ON li.first_part = pa.p_partkey
+  LEFT JOIN (SELECT p_partkey, min(p_name) AS p_name, min(p_brand) AS p_brand, min(p_type) AS p_type
+             FROM part GROUP BY p_partkey) pa ON li.first_part = pa.p_partkey
 ),
 projects AS (
   SELECT *,
