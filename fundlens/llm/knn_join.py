@@ -14,8 +14,8 @@ is solved locally by one matrix product and the partial lists are merged. All of
 Cases: vectors null, empty, holding null or non-finite components, with a null id, or of
 another length than the most frequent one (the longer among equals) take no part. Rows that
 repeat a vec_id count once, with the smallest vector. Ties go to the smaller vec_id. Fewer than
-k candidates: all of them. Components of 2^25 and more in size raise, as scores would no longer
-be exact. Empty tables give no rows; extra columns are ignored.
+k candidates: all of them. Scores that may pass 2^53 are computed on integers; where they may not
+even fit a long (largest component squared, times the length, from 2^63) the query raises. Empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,8 +66,11 @@ def top_k(embeddings: DataFrame, k: int = K, step: int = STEP) -> DataFrame:
     if sizes is None or not sizes["q"]:
         return empty
     dim, n_q = sizes["dim"], sizes["q"]
-    if sizes["top"] >= 2.0 ** 25:
-        raise ValueError("components of 2^25 and more: inner products would not be exact")
+    top = int(sizes["top"])
+    if top * top * dim >= 1 << 63:
+        raise ValueError("inner products of these components may not fit a long")
+    number_type = np.dtype(float if top * top * dim < 1 << 53 else np.int64)     # sums of doubles are exact up to 2^53
+    packed = np.dtype("<i4" if top < 1 << 31 else "<i8")
     vecs = vecs.where(F.size("v") == dim)
     n_pivots = max(1, min(MAX_PIVOTS, -(-n_q // QUERY_BLOCK)))
     pivots = np.array([r["v"] for r in vecs.select("v", F.xxhash64("v").alias("h")).orderBy("h", "vec_id")
@@ -98,7 +101,7 @@ def top_k(embeddings: DataFrame, k: int = K, step: int = STEP) -> DataFrame:
               asked.groupBy("cell", "part").agg(F.max("dist").alias("r")).orderBy("cell", "part").collect()]
     norm = np.sqrt((pivots * pivots).sum(1))
     lower = []
-    slack = 1e-6 * (1 + float(sizes["top"]) ** 2 * dim)
+    slack = 1e-6 * (1 + float(top) ** 2 * dim)
     for c, _, r in groups:
         bounds = sorted((float(pivots[c] @ pivots[n["cell"]]) - r * norm[n["cell"]] - (norm[c] + r) * n["dist"] for n in near),
                         reverse=True)
@@ -115,7 +118,7 @@ def top_k(embeddings: DataFrame, k: int = K, step: int = STEP) -> DataFrame:
             ids = b.column("vec_id").to_numpy()[row]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(group.astype(np.int32)), pa.array((ids % salts).astype(np.int32)), pa.array(ids),
-                 pa.array(x.astype("<i4")[row].view(f"V{4 * dim}").ravel().tolist(), pa.binary())], names=names)
+                 pa.array(x.astype(packed)[row].view(f"V{packed.itemsize * dim}").ravel().tolist(), pa.binary())], names=names)
 
     names = ["grp", "salt", "vec_id", "v"]
     sent = map_arrow(data.select("vec_id", "v"), replicate, "grp int, salt int, vec_id long, v binary")
@@ -128,17 +131,18 @@ def top_k(embeddings: DataFrame, k: int = K, step: int = STEP) -> DataFrame:
         if len(left) and len(right):
             right = right.sort_values("vec_id")
             ids = right["vec_id"].to_numpy()
-            x = np.frombuffer(b"".join(right["v"]), "<i4").reshape(-1, dim).astype(float)
+            x = np.frombuffer(b"".join(right["v"]), packed).reshape(-1, dim).astype(number_type)
+            never = -np.inf if number_type.kind == "f" else np.iinfo(np.int64).min
             for i in range(0, len(left), 64):
                 q = left.iloc[i:i + 64]
-                scores = np.stack(q["v"].to_list()) @ x.T
+                scores = np.stack(q["v"].to_list()).astype(number_type) @ x.T
                 for qid, s in zip(q["vec_id"].tolist(), scores, strict=True):
-                    s[ids == qid] = -np.inf
+                    s[ids == qid] = never
                     if len(s) > k:   # all that reach the k-th score, so that ties are settled by id
-                        pick = np.flatnonzero(s >= -np.partition(-s, k - 1)[k - 1])
+                        pick = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
                     else:
                         pick = np.arange(len(s))
-                    pick = pick[np.isfinite(s[pick])]
+                    pick = pick[s[pick] != never]
                     pick = pick[np.lexsort((ids[pick], -s[pick]))][:k]
                     out["query_id"] += [qid] * len(pick)
                     out["vec_id"] += ids[pick].tolist()

@@ -49,6 +49,24 @@ def test_language_id(spark):
     assert language_id.identify(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("top", [33_549_980, 1 << 28])
+def test_top_k_scores_beyond_double_sums(spark, top):
+    rng = np.random.default_rng(3)
+    v = rng.integers(top // 2, top, 64) - rng.integers(0, 3, (12, 64))
+    v[3] = -v[3]
+    df = spark.createDataFrame([(i, [x / 256 for x in row]) for i, row in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    scores = {i: sum(a * b for a, b in zip(v[0].tolist(), v[i].tolist(), strict=True)) for i in range(1, 12)}
+    best = sorted(scores, key=lambda i: (-scores[i], i))[:5]
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in knn_join.top_k(df).collect())
+    assert got == [(n + 1, i, scores[i]) for n, i in enumerate(best)] and got[0][2] > 1 << 53
+
+
+def test_top_k_refuses_scores_beyond_a_long(spark):
+    df = spark.createDataFrame([(i, [float(1 << 23)] * 4) for i in range(2)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="long"):
+        knn_join.top_k(df)
+
+
 def test_top_k_edges(spark):
     inf = float("inf")
     rows = [(0, [1.0, 0.0]), (50, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [None, 1.0]),
