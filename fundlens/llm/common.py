@@ -12,7 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -120,30 +120,24 @@ def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
 FILTER_WORDS = 1 << 17   # 64-bit words: an 8-million-bit filter, 1 MB
 
 
-def _bitmap(key: str, ids: DataFrame) -> np.ndarray:
-    """Fixed-size hash bitmap of the ids."""
-    at = F.pmod(F.xxhash64(key), F.lit(64 * FILTER_WORDS))
-    parts = (ids.select(F.floor(at / 64).cast("int").alias("w"),
-                        F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), 64) as int))").alias("b"))
-             .groupBy("w").agg(F.bit_or("b").alias("b")).collect())       # at most FILTER_WORDS rows
-    bits = np.zeros(FILTER_WORDS, np.int64)
-    for r in parts:
-        bits[r["w"]] = r["b"]
-    return bits
+def _place(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(64 * FILTER_WORDS))
 
 
-def _marked(rows: DataFrame, key: str, bits: np.ndarray) -> DataFrame:
-    """The rows whose key's bit is set."""
-    cols = rows.columns
+def _bitmap(key: str, ids: DataFrame) -> Column:
+    """Fixed-size hash bitmap of the ids: an array of FILTER_WORDS words, as a scalar subquery."""
+    parts = (ids.select(_place(key).alias("at"))
+             .select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("b"))
+             .groupBy("w").agg(F.bit_or("b").alias("b")))
+    every = ids.sparkSession.range(FILTER_WORDS).join(parts, F.col("id") == F.col("w"), "left")
+    pairs = F.collect_list(F.struct("id", F.coalesce("b", F.lit(0)).alias("b")))
+    return every.agg(F.transform(F.sort_array(pairs), lambda p: p["b"]).alias("bits")).scalar()
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.column("_bit").to_numpy()
-            hit = (bits[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            yield b.filter(pa.array(hit)).select(cols)
 
-    bit = F.pmod(F.xxhash64(key), F.lit(64 * FILTER_WORDS))
-    return map_arrow(rows.withColumn("_bit", bit), work, rows.schema)
+def _marked(rows: DataFrame, key: str, bits: Column) -> DataFrame:
+    """The rows whose key's bit is set."""
+    word = F.get(bits, F.shiftright(_place(key), 6).cast("int"))
+    return rows.where(F.getbit(word, (_place(key) % 64).cast("int")) == 1)
 
 
 def only_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
@@ -151,7 +145,7 @@ def only_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 
     A hash bitmap of fixed size (1 MB, whatever the corpus) first lets go of most other rows,
     so their texts are not shuffled; the semi join then decides. With very many ids the bitmap
-    only lets more rows through.
+    only lets more rows through. No Python worker takes part.
     """
     return _marked(rows, key, _bitmap(key, ids)).join(ids.select(key).distinct(), key, "left_semi")
 
