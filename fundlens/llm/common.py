@@ -124,20 +124,18 @@ def _place(key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(64 * FILTER_WORDS))
 
 
-def _bitmap(key: str, ids: DataFrame) -> Column:
-    """Fixed-size hash bitmap of the ids: an array of FILTER_WORDS words, as a scalar subquery."""
-    parts = (ids.select(_place(key).alias("at"))
-             .select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("b"))
-             .groupBy("w").agg(F.bit_or("b").alias("b")))
-    every = ids.sparkSession.range(FILTER_WORDS).join(parts, F.col("id") == F.col("w"), "left")
-    pairs = F.collect_list(F.struct("id", F.coalesce("b", F.lit(0)).alias("b")))
-    return every.agg(F.transform(F.sort_array(pairs), lambda p: p["b"]).alias("bits")).scalar()
+def _bitmap(key: str, ids: DataFrame) -> DataFrame:
+    """(w, b): the words of a fixed-size hash bitmap of the ids that are not zero, at most FILTER_WORDS rows."""
+    return (ids.select(_place(key).alias("at"))
+            .select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("b"))
+            .groupBy("w").agg(F.bit_or("b").alias("b")))
 
 
-def _marked(rows: DataFrame, key: str, bits: Column) -> DataFrame:
-    """The rows whose key's bit is set."""
-    word = F.get(bits, F.shiftright(_place(key), 6).cast("int"))
-    return rows.where(F.getbit(word, (_place(key) % 64).cast("int")) == 1)
+def _marked(rows: DataFrame, key: str, words: DataFrame) -> DataFrame:
+    """The rows whose key's bit is set; the words are broadcast (at most FILTER_WORDS rows of 16 bytes)."""
+    at = rows.withColumn("_at", _place(key))
+    hit = at.join(F.broadcast(words), F.shiftright("_at", 6) == F.col("w"))
+    return hit.where(F.getbit("b", (F.col("_at") % 64).cast("int")) == 1).select(*rows.columns)
 
 
 def only_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
@@ -145,7 +143,7 @@ def only_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 
     A hash bitmap of fixed size (1 MB, whatever the corpus) first lets go of most other rows,
     so their texts are not shuffled; the semi join then decides. With very many ids the bitmap
-    only lets more rows through. No Python worker takes part.
+    only lets more rows through. No Python worker takes part and the driver keeps no bitmap between jobs.
     """
     return _marked(rows, key, _bitmap(key, ids)).join(ids.select(key).distinct(), key, "left_semi")
 
