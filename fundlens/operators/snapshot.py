@@ -80,6 +80,44 @@ def diff_summary(old: DataFrame, new: DataFrame, key: str = "fkz") -> DataFrame:
                     placement.alias("placement"))
 
 
+BUCKETS = 4096
+
+
+def changed(old: DataFrame, new: DataFrame, cols: list[str], key: str = "fkz") -> DataFrame:
+    """Keys whose rows differ between two exports (J4): key, change, columns.
+
+    ``change`` is ``added``, ``removed`` or ``changed``; ``columns`` names the columns of ``cols`` that
+    differ, in their order (null for added and removed keys). Rows without a key take no part. A key with
+    several rows is compared as the multiset of its rows, column by column; where only the combination of the
+    cells differs, ``columns`` is empty, and where their number does, it names every column.
+
+    Rows are hashed once and summed into BUCKETS buckets of keys; only the rows of buckets that differ are
+    joined, so two exports that agree cost two scans and BUCKETS rows. Buckets and keys are
+    summed before the shuffle: a key with very many rows costs one row a task.
+    """
+    def hashed(df: DataFrame) -> DataFrame:
+        cells = F.array(*[F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("")), F.col(c).isNull()) for c in cols])
+        rows = df.where(F.col(key).isNotNull()).select(key, F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("_b"), cells.alias("_c"))
+        return rows.withColumn("_r", F.xxhash64(key, "_c"))
+
+    total = lambda c: F.sum(c.cast("decimal(20,0)"))
+    o, n = hashed(old), hashed(new)
+    per_bucket = (o.select("_b", "_r", F.lit(-1).alias("_s")).unionByName(n.select("_b", "_r", F.lit(1).alias("_s")))
+                  .groupBy("_b").agg(F.sum(F.col("_r").cast("decimal(20,0)") * F.col("_s")).alias("_t"), F.sum("_s").alias("_n"))
+                  .where("_t <> 0 or _n <> 0").select("_b"))
+
+    def by_key(df: DataFrame, side: str) -> DataFrame:
+        at = df.join(F.broadcast(per_bucket), "_b", "left_semi")      # at most BUCKETS rows
+        return at.groupBy(key).agg(F.struct(F.count(F.lit(1)).alias("n"), total(F.col("_r")).alias("r")).alias(f"{side}_row"),
+                                   F.array(*[total(F.col("_c")[i]) for i in range(len(cols))]).alias(f"{side}_cells"))
+
+    j = by_key(o, "o").join(by_key(n, "n"), key, "full_outer")
+    differ = F.array_compact(F.array(*[F.when(F.col("o_cells")[i] != F.col("n_cells")[i], F.lit(c)) for i, c in enumerate(cols)]))
+    kind = (F.when(F.col("o_row").isNull(), F.lit("added")).when(F.col("n_row").isNull(), F.lit("removed")).otherwise(F.lit("changed")))
+    return (j.where(~F.col("o_row").eqNullSafe(F.col("n_row")))
+            .select(key, kind.alias("change"), F.when(kind == "changed", differ).alias("columns")))
+
+
 def key_order(old: DataFrame, new: DataFrame, key: str = "fkz", n: int = 10) -> DataFrame:
     """Last n keys of ``old`` and first n added keys, lexicographically."""
     last_old = A.top_k(keys(old, key), n, key, [], ascending=False).select(F.lit("old_last").alias("list"), key)

@@ -6,9 +6,9 @@ from fundlens.operators.quality import AUDIT_COLUMNS
 from fundlens.plans.oracle import POPULATION, STATS, STATS_NO_AVG, oracle, present, with_projects
 from fundlens.plans.oracle_more import entity_sql
 from fundlens.plans.params import DRIVER_PARAMS as P
-from fundlens.plans.registry_quality import LOOKUP_NEEDLE, OUTLIER_HIGH, OUTLIER_LOW
+from fundlens.plans.registry_quality import CHANGE_COLUMNS, LOOKUP_NEEDLE, OUTLIER_HIGH, OUTLIER_LOW
 from fundlens.sources.register_csv import UNMAPPED
-from fundlens.sources.tables import SNAPSHOT_SQL
+from fundlens.sources.tables import REVISED_SQL, SNAPSHOT_SQL
 
 
 def blank(c: str) -> str:
@@ -240,6 +240,14 @@ oracle("schema_profile", with_projects() + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS \"column\", 'string' AS dtype, count({c}) AS non_null, count(DISTINCT {c}) AS \"distinct\" FROM projects"
     for c in AUDIT_COLUMNS))
 
+oracle("value_profile", with_projects(*[
+    f"v_{c} AS (SELECT '{c}' AS \"column\", 'string' AS dtype, {c} AS \"value\", count(*) AS \"count\", "
+    f"sum(count(*)) OVER () AS non_null FROM projects WHERE {c} IS NOT NULL GROUP BY {c})" for c in AUDIT_COLUMNS])
+    + "\nUNION ALL\n".join(
+    f"SELECT \"column\", dtype, CAST(non_null AS BIGINT) AS non_null, \"value\", \"count\", "
+    f"round(\"count\" * 100.0 / CAST(non_null AS DOUBLE), 4) AS share_pct FROM v_{c} WHERE \"count\" * 100 >= non_null"
+    for c in AUDIT_COLUMNS))
+
 # --- snapshot diff -------------------------------------------------------------------
 
 _SNAP = SNAPSHOT_SQL.strip()
@@ -248,6 +256,15 @@ REMOVED = "removed AS (SELECT * FROM snap_old o WHERE fkz IS NOT NULL AND fkz NO
 
 oracle("snapshot_added", with_projects(_SNAP, ADDED) + "SELECT fkz, row_id, start_date FROM added")
 oracle("snapshot_removed", with_projects(_SNAP, REMOVED) + "SELECT fkz, row_id FROM removed")
+oracle("snapshot_changed", with_projects(_SNAP, REVISED_SQL.strip()) + f"""
+SELECT * FROM (
+  SELECT coalesce(o.fkz, n.fkz) AS fkz,
+         CASE WHEN o.fkz IS NULL THEN 'added' WHEN n.fkz IS NULL THEN 'removed' ELSE 'changed' END AS change,
+         CASE WHEN o.fkz IS NOT NULL AND n.fkz IS NOT NULL THEN concat_ws(',', {", ".join(
+             f"CASE WHEN o.{c} IS DISTINCT FROM n.{c} THEN '{c}' END" for c in CHANGE_COLUMNS)}) END AS columns
+  FROM snap_old o FULL JOIN snap_revised n ON o.fkz = n.fkz) t
+WHERE columns IS NULL OR columns <> ''
+""")
 oracle("snapshot_positions", with_projects(_SNAP, ADDED, REMOVED) + """
 SELECT o.old_rows, n.new_rows, o.old_unique, n.new_unique, a.added, r.removed, n.new_rows - o.old_rows AS net_change,
        CASE WHEN a.mn IS NOT NULL THEN (SELECT count(*) FROM snap_new WHERE row_id < a.mn) END AS added_min_pos,

@@ -55,6 +55,13 @@ def write_report(checks: DataFrame, root: str, name: str = "validation_report")
     return path
 
 
+def write_text(lines: DataFrame, root: str, name: str) -> str:
+    """A bounded one-column table of lines as one text file."""
+    path = f"{root.rstrip('/')}/reports/{name}"
+    lines.coalesce(1).write.mode("overwrite").text(path)
+    return path
+
+
 def write_manifest(spark, root: str, run_id: str, artifacts: Sequence[str]) -> str:
     """Run stamp: id, time and the artifacts this run wrote (A9, A10). Fails on none."""
     if not artifacts:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fundlens.functions import normalize as N
 from fundlens.operators import marts as M
 from fundlens.operators import omissions as OM
+from fundlens.operators import profile as PR
 from fundlens.operators import quality as Q
 from fundlens.operators import serving as SV
 from fundlens.operators import snapshot as SN
@@ -22,6 +23,8 @@ from fundlens.sources import register_csv as RC
 from fundlens.sources import tables
 
 OUTLIER_LOW, OUTLIER_HIGH = 1996, 2000
+CHANGE_COLUMNS = ["ministry", "sponsor", "recipient", "city", "state", "country", "class_code", "start_date", "end_date",
+                  "amount", "profile", "joint_name", "funding_type"]
 LOOKUP_NEEDLE = "Customer#0000001"
 
 
@@ -138,6 +141,11 @@ def q_schema_profile(spark, sf):
     return Q.schema_profile(projects(spark, sf), Q.AUDIT_COLUMNS)
 
 
+@query("value_profile")
+def q_value_profile(spark, sf):
+    return PR.frequent_values(projects(spark, sf), Q.AUDIT_COLUMNS)
+
+
 # --- snapshot diff ---------------------------------------------------------------
 
 def _pair(spark, sf):
@@ -156,6 +164,12 @@ def q_snapshot_removed(spark, sf):
     return SN.removed(o, n).select("fkz", "row_id")
 
 
+@query("snapshot_changed")
+def q_snapshot_changed(spark, sf):
+    cells = SN.changed(tables.snapshot_old(spark, sf), tables.snapshot_revised(spark, sf), CHANGE_COLUMNS)
+    return cells.select("fkz", "change", F.array_join("columns", ",").alias("columns"))
+
+
 @query("snapshot_positions")
 def q_snapshot_positions(spark, sf):
     return SN.diff_summary(*_pair(spark, sf))

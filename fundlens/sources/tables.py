@@ -196,8 +196,26 @@ def snapshot_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(~withdrawn)
 
 
+def snapshot_revised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later export with corrected cells: pending projects from 1997 on cost a tenth more, low-priority
+    ones have a profile, and projects without a state are moved to another city."""
+    n = snapshot_new(spark, sf_dir)
+    dearer = (F.col("work_unit") == "P") & (F.col("start_year") >= 1997)
+    raised = F.when(dearer, (F.col("amount") * F.lit(1.1).cast("decimal(2,1)")).cast("decimal(18,2)")).otherwise(F.col("amount"))
+    profile = F.when((F.col("sponsor") == "5-LOW") & (F.col("funding_type") == "F"), F.lit("LOW")).otherwise(F.col("profile"))
+    city = F.when((F.col("state") == "") & (F.col("start_year") == 1995), F.lit("MOVED")).otherwise(F.col("city"))
+    return n.withColumns({"amount": raised, "profile": profile, "city": city})
+
+
 SNAPSHOT_SQL = """
 snap_old AS (SELECT * FROM projects WHERE NOT (start_date >= DATE '2001-07-01')),
 snap_new AS (SELECT * FROM projects
              WHERE NOT (work_unit = 'P' AND sponsor = '1-URGENT' AND start_date < DATE '1995-03-01'))
 """
+
+REVISED_SQL = """
+snap_revised AS (SELECT * REPLACE (
+  CASE WHEN work_unit = 'P' AND start_year >= 1997 THEN CAST(amount * 1.1 AS DECIMAL(18,2)) ELSE amount END AS amount,
+  CASE WHEN sponsor = '5-LOW' AND funding_type = 'F' THEN 'LOW' ELSE profile END AS profile,
+  CASE WHEN state = '' AND start_year = 1995 THEN 'MOVED' ELSE city END AS city) FROM snap_new)
+"""
