@@ -41,6 +41,52 @@ def keyword_matches(projects: DataFrame, keywords: DataFrame) -> DataFrame:
     return titles.join(F.broadcast(keywords.select("word")), F.col("_lt").contains(F.col("word")))
 
 
+GRAM = 4
+
+
+def keyword_index(vocabulary: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(run, word): the keywords that each run of ``vocabulary(run)`` contains, each pair once.
+
+    An equi-join on 4-grams instead of a test of every run against every keyword: a run gives its distinct
+    4-grams (one regex pass, linear in its length), a keyword its first one, and only pairs that share
+    it are tested. Keywords have at least GRAM characters and no white space; another one fails the job.
+    """
+    grams = F.array_distinct(F.regexp_extract_all("run", F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), 1))
+    kw = F.col("word")
+    gram = (F.when((F.length(kw) >= GRAM) & ~kw.rlike(r"\s"), F.substring(kw, 1, GRAM))
+            .otherwise(F.raise_error(F.concat(F.lit("not an indexable keyword: "), kw))))
+    return (vocabulary.select("run", F.explode(grams).alias("gram"))
+            .join(keywords.select("word").distinct().select("word", gram.alias("gram")), "gram")
+            .where(F.col("run").contains(F.col("word"))).select("run", "word"))
+
+
+def keyword_matches_indexed(projects: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(word, start_year, amount) of :func:`keyword_matches` for any number of keywords (C4).
+
+    A keyword lies inside a run of a title without white space, so the index is built on the distinct runs
+    of all titles (combined before the shuffle) and joined back by run; AQE splits a run that very many titles
+    hold. A title that holds a keyword in several runs counts once, by its row_id, which is unique.
+    """
+    runs = (projects.where(F.col("title").isNotNull())
+            .select("row_id", "start_year", "amount", F.lower("title").alias("_lt"))
+            .select("row_id", "start_year", "amount", F.explode(F.array_distinct(F.split("_lt", r"\s+"))).alias("run"))
+            .where(F.length("run") >= GRAM))
+    hits = keyword_index(runs.select("run").distinct(), keywords)
+    return (runs.join(hits, "run").select("row_id", "word", "start_year", "amount").distinct()
+            .select("word", "start_year", "amount"))
+
+
+def keyword_reconcile_all(projects: DataFrame) -> DataFrame:
+    """:func:`keyword_reconcile` for every title word (lower case), with the matches' funding, through the index."""
+    words = word_counts(projects)
+    matches = keyword_matches_indexed(projects, words).groupBy("word").agg(
+        F.count(F.lit(1)).alias("project_matches"), N.money(F.sum("amount")).alias("funding"))
+    pm = F.coalesce("project_matches", F.lit(0))
+    return (words.join(matches, "word", "left")
+            .select("word", F.col("count").alias("word_count"), pm.alias("project_matches"),
+                    "funding", F.round(N.safe_ratio(pm, "count"), 6).alias("match_ratio")))
+
+
 def keyword_trends(projects: DataFrame, k: int = 50, wc: DataFrame | None = None) -> DataFrame:
     """For the top-k title words: yearly funding and projects plus totals.
 

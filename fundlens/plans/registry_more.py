@@ -95,6 +95,11 @@ def q_keyword_trends(spark, sf):
     return K.keyword_trends(projects(spark, sf), 50)
 
 
+@query("keyword_reconcile_all")
+def q_keyword_reconcile_all(spark, sf):
+    return K.keyword_reconcile_all(projects(spark, sf))
+
+
 @query("keyword_reconcile")
 def q_keyword_reconcile(spark, sf):
     return K.keyword_reconcile(projects(spark, sf), 50)

@@ -1,12 +1,19 @@
-"""Value profile from sketches and changed rows between exports, on hand-made rows."""
+"""Value profile from sketches, changed rows between exports and the keyword index, on hand-made rows."""
 
+import datetime as dt
 import glob
 from collections import Counter
+from decimal import Decimal
 
+import pytest
+
+from fundlens.operators import keywords as K
 from fundlens.operators import profile as PR
 from fundlens.operators import snapshot as SN
 from fundlens.plans import publish
 
+from test_operators import proj
+
 SCHEMA = "fkz string, a string, b int"
 
 
@@ -81,3 +88,25 @@ def test_changed_rows(spark):
                                  ("fresh", "added", None), ("fewer", "changed", ("a", "b")), ("cross", "changed", ())}
     assert changes(old, old) == set() and changes(make([]), make([])) == set()
     assert {c[1] for c in changes(make([]), new)} == {"added"} and {c[1] for c in changes(old, make([]))} == {"removed"}
+
+
+def test_keyword_index_equals_contains(spark):
+    titles = ["Sonne und Sonnenwende, Sonnen", "SONNE\tmond", "xSonnenkraft", "Mond schein mondscheinx", "", None, "abc de",
+              "Straßenbau der Zukunft", "sonnen sonnen sonnen", "q" * 5000 + "sonnen" + "q" * 5000]
+    p = proj(spark, [dict(title=t, amount=i + 1, start_date=dt.date(2000 + i, 1, 1)) for i, t in enumerate(titles)])
+    words = ["sonne", "sonnen", "mondschein", "straße", "zukunft", "nirgends", "enwende"]
+    kw = spark.createDataFrame([(w,) for w in [*words, "sonne"]], "word string")
+    found = Counter(tuple(r) for r in K.keyword_matches_indexed(p.repartition(3), kw).collect())
+    want = Counter((w, 2000 + i, Decimal(i + 1)) for i, t in enumerate(titles) for w in words if t is not None and w in t.lower())
+    assert found == want
+    plain = K.keyword_matches(p, kw.distinct()).select("word", "start_year", "amount")
+    assert Counter(tuple(r) for r in plain.collect()) == want
+    for bad in ("ab", "two words"):
+        with pytest.raises(Exception, match="not an indexable keyword"):
+            K.keyword_matches_indexed(p, spark.createDataFrame([(bad,)], "word string")).collect()
+
+
+def test_keyword_index_has_no_nested_loop(spark):
+    p = proj(spark, [dict(title="Sonne", amount=1)])
+    plan = K.keyword_reconcile_all(p)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
