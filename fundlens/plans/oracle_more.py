@@ -155,13 +155,6 @@ SELECT {cap('kw.word')} AS keyword, kw.count AS word_count, coalesce(pm.n, 0) AS
 FROM kw LEFT JOIN pm ON pm.word = kw.word
 """)
 
-oracle("keyword_reconcile_all", with_projects(*word_counts_cte("projects", "title"),
-    "ma AS (SELECT wc.word, count(*) AS n, sum(p.amount) AS f FROM wc JOIN projects p ON contains(lower(p.title), wc.word) GROUP BY wc.word)") + """
-SELECT wc.word, wc.count AS word_count, coalesce(ma.n, 0) AS project_matches, CAST(ma.f AS DOUBLE) AS funding,
-       round(CAST(coalesce(ma.n, 0) AS DOUBLE) / nullif(CAST(wc.count AS DOUBLE), 0), 6) AS match_ratio
-FROM wc LEFT JOIN ma ON ma.word = wc.word
-""")
-
 oracle("keyword_cloud", with_projects(*word_counts_cte("projects", "title"), KW50,
                                       "mx AS (SELECT max(count) AS m FROM kw)") + f"""
 SELECT {cap('kw.word')} AS word, kw.count,

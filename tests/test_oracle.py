@@ -19,7 +19,9 @@ QUERIES = registry()
 ORACLES = oracles()
 
 
-BRUTE = {"forecast_changepoints"}     # an iterative fit, beyond SQL: held against numpy in test_operators
+# without SQL: an iterative fit (held against numpy in test_operators), and every title against every word, too
+# slow in SQL on whole tables (held against brute force in test_profile_changes)
+BRUTE = {"forecast_changepoints", "keyword_reconcile_all"}
 
 
 def test_every_query_has_an_oracle():
