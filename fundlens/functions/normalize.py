@@ -14,6 +14,8 @@ from fundlens import dims
 # Python's str.strip() removes any Unicode whitespace; Spark's trim() only removes
 # spaces. This pattern mirrors the former.
 _EDGE_WS = r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$"
+# The characters of that class; trimming them reads a text's ends only, the pattern all of it.
+_WS = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def col_(c) -> Column:
@@ -22,7 +24,9 @@ def col_(c) -> Column:
 
 def py_strip(c) -> Column:
     """Strip all leading/trailing Unicode whitespace (H1)."""
-    return F.regexp_replace(col_(c), _EDGE_WS, "")
+    c = col_(c)
+    # before a last U+0085 the pattern's ``$`` matches too
+    return F.when(c.endswith("\u0085"), F.regexp_replace(c, _EDGE_WS, "")).otherwise(F.btrim(c, F.lit(_WS)))
 
 
 def unwrap(c) -> Column:

@@ -143,6 +143,8 @@ def raw_rows(spark: SparkSession, path: str, lay: Layout) -> DataFrame:
 EXPORT_HEADER = [f'="{name}"' for name, _ in REGISTER_COLUMNS] + [f'="{REGISTER_COLUMNS[0][0]}"', ""]
 # Fixed value: everything that Windows-1252 cannot hold (and NUL).
 UNMAPPED = r"[^\x01-\x7F\xA0-\xFF€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
+# The same for Spark: most characters are settled by the two ranges, only others are held against the list.
+_UNMAPPED = r"[^\x01-\x7F\xA0-\xFF](?<![€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ])"
 
 
 def _java_charset(spark: SparkSession, build):
@@ -168,17 +170,21 @@ def export_lines(projects: DataFrame) -> DataFrame:
     cells = [F.coalesce(F.concat(F.lit('="'), text[c] if c in text else F.col(c), F.lit('"')), F.lit(""))
              for _, c in REGISTER_COLUMNS]
     line = F.concat_ws(SEP, *cells, cells[0], F.lit(""))
-    line = F.regexp_replace(F.regexp_replace(line, r"[\r\n]+", " "), UNMAPPED, "?")
+    line = F.regexp_replace(F.regexp_replace(line, r"[\r\n]+", " "), _UNMAPPED, "?")
     return _java_charset(projects.sparkSession, lambda: projects.select("row_id", F.encode(line, ENCODING).alias("line")))
 
 
 def parse_lines(lines: DataFrame, lay: Layout) -> DataFrame:
-    """The rows that :func:`raw_rows` gives for a file, from (row_id, line) of encoded lines."""
+    """The rows that :func:`raw_rows` gives for a file, from (row_id, line) of encoded lines.
+
+    A generator hands on the cells: a filter on them is not pushed below it, where it would
+    render, encode and parse the whole line again for each cell it names.
+    """
     schema = ", ".join([f"_c{i} string" for i in range(lay.n_fields)] + [f"{CORRUPT} string"])
     options = {"sep": SEP, "quote": "", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     text = _java_charset(lines.sparkSession, lambda: lines.select("row_id", F.decode("line", ENCODING).alias("line")))
-    return (text.select("row_id", F.from_csv("line", schema, options).alias("_r"))
-            .select("_r.*", F.lit("").alias("_file"), F.col("row_id").alias("_pos")))
+    cells = text.select("row_id", F.inline(F.array(F.from_csv("line", schema, options))))
+    return cells.select(*[c for c in cells.columns if c != "row_id"], F.lit("").alias("_file"), F.col("row_id").alias("_pos"))
 
 
 def _too_long(lay: Layout):

@@ -85,3 +85,29 @@ def test_formats(spark):
     assert one(spark, N.month_name, 3, "int") == "Mar"
     assert one(spark, N.compact_currency, 2.5e9, "double") == "€2.5B"
     assert one(spark, N.capitalize, "größe") == "Größe"
+
+
+def test_strip_equals_the_pattern(spark):
+    import random
+    rnd = random.Random(5)
+    signs = "ab \t\n\x0b\f\r\x1c\x85   　﻿​="
+    texts = [None, "", " ", "\x85", " a \x85", *("".join(rnd.choices(signs, k=rnd.randint(1, 9))) for _ in range(3000)),
+             *(f"{chr(i)}a{chr(i)}" for i in [*range(1, 0x3100), 0xFEFF])]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = d.select(N.py_strip("t").alias("a"), F.regexp_replace("t", N._EDGE_WS, "").alias("b"))
+    assert got.where(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
+    assert "trim" in d.select(N.py_strip("t"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_export_lines_are_parsed_once(spark):
+    from fundlens.sources import register_csv as RC
+    lay = RC.layout(RC.EXPORT_HEADER)
+    lines = spark.range(3).select(F.col("id").alias("row_id"), F.encode(F.concat(F.lit("a;b;"), F.col("id").cast("string")), "UTF-8").alias("line"))
+    raw = RC.parse_lines(lines, lay)
+    for df in (RC.normalise(raw, lay), RC.rejects(raw, lay)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_csv") == 1 and RC.normalise(raw, lay).count() == 3 and RC.rejects(raw, lay).count() == 0
+    texts = [(chr(i),) for i in [*range(0x180), *range(0x2000, 0x2200), 0xFEFF, 0xFFFD, 0x1F600]]
+    d = spark.createDataFrame(texts, "t string")
+    two = d.select(F.regexp_replace("t", RC.UNMAPPED, "?").alias("a"), F.regexp_replace("t", RC._UNMAPPED, "?").alias("b"))
+    assert two.where("a <> b").count() == 0 and two.where("a = '?'").count() > 400
