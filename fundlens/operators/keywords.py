@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundlens.functions import normalize as N
@@ -42,21 +42,32 @@ def keyword_matches(projects: DataFrame, keywords: DataFrame) -> DataFrame:
 
 
 GRAM = 4
+GRAMS = [GRAM, 5, 6, 7, 8, 10, 12, 16, 24, 32]      # lengths of the substrings of a run that are looked up
+
+
+def run_grams(run: Column) -> Column:
+    """The distinct substrings of the lengths GRAMS."""
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(run, F.lit(rf"(?s)(?=(.{{{n}}}))"), 1) for n in GRAMS]))
+
+
+def keyword_gram(kw: Column) -> Column:
+    """A keyword's first characters, as many as the greatest length in GRAMS that it has."""
+    size = F.greatest(*[F.when(F.length(kw) >= n, F.lit(n)) for n in GRAMS])
+    return (F.when((F.length(kw) >= GRAM) & ~kw.rlike(r"\s"), F.substring(kw, F.lit(1), size))
+            .otherwise(F.raise_error(F.concat(F.lit("not an indexable keyword: "), kw))))
 
 
 def keyword_index(vocabulary: DataFrame, keywords: DataFrame) -> DataFrame:
     """(run, word): the keywords that each run of ``vocabulary(run)`` contains, each pair once.
 
-    An equi-join on 4-grams instead of a test of every run against every keyword: a run gives its distinct
-    4-grams (one regex pass, linear in its length), a keyword its first one, and only pairs that share
-    it are tested. Keywords have at least GRAM characters and no white space; another one fails the job.
+    An equi-join on substrings instead of a test of every run against every keyword: a run gives its distinct
+    substrings of the lengths GRAMS (one regex pass each, linear in its length), a keyword its first characters, as
+    many as the greatest of these lengths that it has. Only pairs that share them are tested: a keyword of a
+    length in GRAMS meets only runs that contain it, a longer one few others, however many keywords there are.
+    Keywords have at least GRAM characters and no white space; another one fails the job.
     """
-    grams = F.array_distinct(F.regexp_extract_all("run", F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), 1))
-    kw = F.col("word")
-    gram = (F.when((F.length(kw) >= GRAM) & ~kw.rlike(r"\s"), F.substring(kw, 1, GRAM))
-            .otherwise(F.raise_error(F.concat(F.lit("not an indexable keyword: "), kw))))
-    return (vocabulary.select("run", F.explode(grams).alias("gram"))
-            .join(keywords.select("word").distinct().select("word", gram.alias("gram")), "gram")
+    return (vocabulary.select("run", F.explode(run_grams(F.col("run"))).alias("gram"))
+            .join(keywords.select("word").distinct().select("word", keyword_gram(F.col("word")).alias("gram")), "gram")
             .where(F.col("run").contains(F.col("word"))).select("run", "word"))
 
 
@@ -64,16 +75,19 @@ def keyword_matches_indexed(projects: DataFrame, keywords: DataFrame) -> DataFra
     """(word, start_year, amount) of :func:`keyword_matches` for any number of keywords (C4).
 
     A keyword lies inside a run of a title without white space, so the index is built on the distinct runs
-    of all titles (combined before the shuffle) and joined back by run; AQE splits a run that very many titles
-    hold. A title that holds a keyword in several runs counts once, by its row_id, which is unique.
+    of all titles (combined before the shuffle) and joined back by run, all keywords of a run in one row; AQE splits
+    a run that very many titles hold. A title that holds a keyword in several runs counts once, by its
+    row_id, which is unique: its keywords meet in one row, bounded by its own length.
     """
+    own = ["row_id", "start_year", "amount"]
     runs = (projects.where(F.col("title").isNotNull())
-            .select("row_id", "start_year", "amount", F.lower("title").alias("_lt"))
-            .select("row_id", "start_year", "amount", F.explode(F.array_distinct(F.split("_lt", r"\s+"))).alias("run"))
+            .select(*own, F.lower("title").alias("_lt"))
+            .select(*own, F.explode(F.array_distinct(F.split("_lt", r"\s+"))).alias("run"))
             .where(F.length("run") >= GRAM))
-    hits = keyword_index(runs.select("run").distinct(), keywords)
-    return (runs.join(hits, "run").select("row_id", "word", "start_year", "amount").distinct()
-            .select("word", "start_year", "amount"))
+    hits = (keyword_index(runs.select("run").distinct(), keywords)
+            .groupBy("run").agg(F.collect_list("word").alias("words")))      # bounded by the run's own length
+    return (runs.join(hits, "run").groupBy(*own).agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+            .select(F.explode("words").alias("word"), "start_year", "amount"))
 
 
 def keyword_reconcile_all(projects: DataFrame) -> DataFrame:

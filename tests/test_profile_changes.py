@@ -6,6 +6,7 @@ from collections import Counter
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from fundlens.operators import keywords as K
 from fundlens.operators import profile as PR
@@ -110,3 +111,15 @@ def test_keyword_index_has_no_nested_loop(spark):
     p = proj(spark, [dict(title="Sonne", amount=1)])
     plan = K.keyword_reconcile_all(p)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_keyword_index_tests_few_pairs(spark):
+    stems = ["".join("xyz"[i // 3 ** k % 3] for k in range(5)) for i in range(243)]
+    words = [f"abcd{t}" for t in stems] + [f"abcd{t}{t}{t}{t}" for t in stems[:40]] + ["abcd"]
+    kw = spark.createDataFrame([(w,) for w in words], "word string")
+    runs = spark.createDataFrame([(f"q{w}q",) for w in words], "run string")
+    want = sorted((f"q{w}q", v) for w in words for v in words if v in w)
+    assert sorted(tuple(r) for r in K.keyword_index(runs, kw).collect()) == want
+    pairs = (runs.select("run", F.explode(K.run_grams(F.col("run"))).alias("gram"))
+             .join(kw.select("word", K.keyword_gram(F.col("word")).alias("gram")), "gram").count())
+    assert pairs < 5 * len(want)       # by 4-grams alone: every word in every run, 80,000 and more
