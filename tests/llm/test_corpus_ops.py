@@ -409,3 +409,19 @@ def test_word_ids_equal_the_tokenizers():
     assert packing.__name__ in common.KEPT
     common.only_kept_by("another")
     assert not common.KEPT
+
+
+def test_id_bitmap_comes_before_the_shuffle(spark):
+    from fundlens.llm import common
+    rows = spark.createDataFrame([(i % 50 if i else None, f"t{i}") for i in range(200)], "id long, t string").select("t", "id")
+    ids = spark.createDataFrame([(3,), (3,), (7,), (None,), (900,)], "id long")
+    got = common.only_ids(rows, "id", ids)
+    assert got.columns == ["t", "id"] and sorted(r["id"] for r in got.collect()) == [3] * 4 + [7] * 4
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = common.only_ids(rows, "id", ids)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert 0 <= plan.index("SortMergeJoin") < plan.index("BroadcastHashJoin")      # the bitmap is below the exact join
