@@ -372,7 +372,7 @@ def test_pipeline_small(spark):
     from fundlens.llm import queries
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert got and max(r["offset"] + r["length"] for r in got) <= 4096
-    assert len(queries.queries()) == 10 and 4 <= len(corpus_pipeline.STAGES) <= 5
+    assert len(queries.queries()) == 13 and 4 <= len(corpus_pipeline.STAGES) <= 5
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for _, f in corpus_pipeline.STAGES[:-1]:
         d2 = f(spark, d, "/root/testdata/sf0.001")
