@@ -31,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundlens.llm.bytewords import U, mix, shingle_sets
-from fundlens.llm.common import byte_chunks, components, key_runs, map_arrow, only_ids, partitions, written
+from fundlens.llm.common import byte_chunks, components, key_runs, map_arrow, maybe_ids, partitions, written
 
 PERCENT = 85           # of the query; the pipeline's stage takes STAGE_PERCENT
 STAGE_PERCENT = 80
@@ -100,39 +100,43 @@ def sig_matrix(col: pa.Array, width: str = "<u4") -> np.ndarray:
 
 
 def split(rows: DataFrame, trees: range | None, percent: int) -> DataFrame:
-    """(node, rep) of the children: of the roots of ``trees``, or of each row's node."""
+    """(node, rep, component) of the children: of the roots of ``trees``, or of each row's node."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig, rep = sig_matrix(b.column("sig")), b.column("rep").to_numpy()
+            sig, rep, part = sig_matrix(b.column("sig")), b.column("rep").to_numpy(), b.column("component").to_numpy()
             nodes = mix(np.array(trees, U) + U(1)) if trees else b.column("node").to_numpy().view(U)
             one, two, both = chosen(nodes, percent)
-            out, reps = [], []
+            out, at = [], []
+            every = np.arange(len(rep))
             if trees:
                 for node, c1, c2, second in zip(nodes, one, two, both, strict=True):
                     for c in [c1, c2][:1 + second]:
                         out.append(child(np.full(len(rep), node), np.full(len(rep), c), sig[:, int(c)]))
-                        reps.append(rep)
+                        at.append(every)
             else:
-                at = np.arange(len(rep))
-                out += [child(nodes, one, sig[at, one.astype(int)]),
-                        child(nodes[both], two[both], sig[at[both], two[both].astype(int)])]
-                reps += [rep, rep[both]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(reps))],
-                                             names=["node", "rep"])
-
-    return map_arrow(rows.select(*([] if trees else ["node"]), "rep", "sig"), work, "node long, rep long")
-
-
-def leaves(sets: DataFrame, percent: int, trees: range) -> tuple[DataFrame, DataFrame]:
-    """(leaf, rep) of the leaves of two to LEAF classes, and (node, rep, n) of the nodes still larger after all levels."""
-    paths, out = written(split(sets, trees, percent), "paths"), None
+                out += [child(nodes, one, sig[every, one.astype(int)]),
+                        child(nodes[both], two[both], sig[every[both], two[both].astype(int)])]
+                at += [every, every[both]]
+            at = np.concatenate(at)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(rep[at]), pa.array(part[at])],
+                                             names=["node", "rep", "component"])
+
+    return map_arrow(rows.select(*([] if trees else ["node"]), "rep", "component", "sig"), work, "node long, rep long, component long")
+
+
+def leaves(sets: DataFrame, label: DataFrame | None, percent: int, trees: range) -> tuple[DataFrame, DataFrame]:
+    """(leaf, rep, component) of the leaves of up to LEAF classes, and (node, rep, component, n) of the nodes
+    still larger after all levels. A large node whose classes are one component by ``label`` (none: each its
+    own) has nothing left to link and goes no further."""
+    roots = split(sets.withColumn("component", F.col("rep")), trees, percent)
+    paths, out = written(roots if label is None else roots.drop("component").join(label, "rep").select("node", "rep", "component"), "paths"), None
     for level in range(LEVELS):
-        sizes = paths.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        sized = paths.join(sizes, "node")
-        small = sized.where(F.col("n") <= LEAF).select(F.col("node").alias("leaf"), "rep")
+        sizes = paths.groupBy("node").agg(F.count("*").alias("n"), (F.min("component") < F.max("component")).alias("mixed"))
+        many = written(sizes.where(F.col("n") > LEAF), "many")       # at most a LEAF-th of the rows
+        small = paths.join(many, "node", "left_anti").select(F.col("node").alias("leaf"), "rep", "component")
         out = small if out is None else out.unionByName(small)
-        large = sized.where(F.col("n") > LEAF).select("node", "rep", "n")
-        if level == LEVELS - 1 or not sizes.where(F.col("n") > LEAF).limit(1).count():
+        large = paths.join(many.where("mixed"), "node").select("node", "rep", "component", "n")
+        if level == LEVELS - 1 or not many.where("mixed").limit(1).count():
             return out, large
         paths = written(split(large.join(sets, "rep"), None, percent), "paths")
 
@@ -144,12 +148,12 @@ def blocks(n: Column) -> tuple[Column, Column]:
 
 
 def within_blocks(large: DataFrame) -> DataFrame:
-    """(leaf, rep): the blocks of large nodes."""
-    return large.select(F.xxhash64("node", blocks(F.col("n"))[1]).alias("leaf"), "rep")
+    """(leaf, rep, component): the blocks of large nodes."""
+    return large.select(F.xxhash64("node", blocks(F.col("n"))[1]).alias("leaf"), "rep", "component")
 
 
 def across_components(large: DataFrame) -> DataFrame:
-    """(leaf, rep) of ``large(node, rep, component)``: every two classes of a node that are of different
+    """(leaf, rep, component) of ``large(node, rep, component)``: every two classes of a node that are of different
     components meet in a leaf. The node's largest component is cut into blocks, and so is the rest;
     each block of the one meets each of the other, and blocks of the rest meet one another."""
     counts = large.groupBy("node", "component").agg(F.count("*").alias("n"))
@@ -159,12 +163,12 @@ def across_components(large: DataFrame) -> DataFrame:
     (n_big, at_big), (n_rest, at_rest) = blocks(F.col("n_big")), blocks(F.col("n_rest"))
     numbers = lambda n: F.sequence(F.lit(0), n - 1)
     in_big = F.col("component") == F.col("big")
-    big = rows.where(in_big).select("node", "rep", at_big.alias("c"), F.explode(numbers(n_rest)).alias("d"))
-    rest = rows.where(~in_big).select("node", "rep", at_rest.alias("d"), n_big.alias("n_big"), n_rest.alias("n_rest"))
-    met = big.unionByName(rest.select("node", "rep", "d", F.explode(numbers(F.col("n_big"))).alias("c")))
-    rest = rest.select("node", "rep", "d", F.explode(numbers(F.col("n_rest"))).alias("k"))
-    return (met.select(F.xxhash64("node", F.lit("big"), "c", "d").alias("leaf"), "rep")
-            .unionByName(rest.select(F.xxhash64("node", F.lit("rest"), F.least("d", "k"), F.greatest("d", "k")).alias("leaf"), "rep")))
+    big = rows.where(in_big).select("node", "rep", "component", at_big.alias("c"), F.explode(numbers(n_rest)).alias("d"))
+    rest = rows.where(~in_big).select("node", "rep", "component", at_rest.alias("d"), n_big.alias("n_big"), n_rest.alias("n_rest"))
+    met = big.unionByName(rest.select("node", "rep", "component", "d", F.explode(numbers(F.col("n_big"))).alias("c")))
+    rest = rest.select("node", "rep", "component", "d", F.explode(numbers(F.col("n_rest"))).alias("k"))
+    return (met.select(F.xxhash64("node", F.lit("big"), "c", "d").alias("leaf"), "rep", "component")
+            .unionByName(rest.select(F.xxhash64("node", F.lit("rest"), F.least("d", "k"), F.greatest("d", "k")).alias("leaf"), "rep", "component")))
 
 
 def candidates(t: pa.Table, sig: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -191,24 +195,15 @@ def runs_of(rows: DataFrame) -> DataFrame:
 
 
 def to_confirm(rows: DataFrame, percent: int) -> DataFrame:
-    """(leaf, rep) of the classes with a candidate partner in a leaf."""
+    """The rows of the classes with a candidate partner in their leaf."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[tuple[int, int]] = []
         for t in key_runs(batches, ["leaf"]):
             if t.num_rows > 1:
                 pairs = candidates(t, sig_matrix(t.column("sig").combine_chunks(), "u1"), agreement(percent))
                 if pairs:
-                    leaf, rep = t.column("leaf")[0].as_py(), t.column("rep").to_numpy()
-                    got += [(leaf, int(rep[k])) for k in {k for _, i, j in pairs for k in (i, j)}]
-            if len(got) > 50_000:
-                yield flat(got)
-                got = []
-        yield flat(got)
-
-    def flat(got):
-        return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in range(2)], names=["leaf", "rep"])
+                    yield from t.take(sorted({k for _, i, j in pairs for k in (i, j)})).combine_chunks().to_batches()
 
-    return map_arrow(runs_of(rows), work, "leaf long, rep long")
+    return map_arrow(runs_of(rows), work, rows.schema)
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
@@ -255,57 +250,73 @@ def confirmed(rows: DataFrame, percent: int) -> DataFrame:
     return map_arrow(runs_of(rows), work, "a long, b long")
 
 
-def found(small: DataFrame, large: DataFrame, sets: DataFrame, docs: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+def found(small: DataFrame | None, large: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(a, b): a forest of the links inside the given leaves between classes of different components.
 
-    ``small`` and ``large`` are (leaf, rep), ``label`` is (rep, component), ``sets`` (rep, sig)."""
-    own = small.groupBy("rep").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))   # at most some 2 a tree
-    rows = small.unionByName(large).distinct().join(label, "rep")
-    mixed = rows.groupBy("leaf").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("leaf")
-    rows = written(rows.join(mixed, "leaf", "left_semi"), "mixed")
+    ``small`` and ``large`` are (leaf, rep, component), ``sets`` (rep, sig)."""
+    rows = large.select("leaf", "rep", "component", F.lit(False).alias("own"))
+    if small is not None:
+        rows = small.select("leaf", "rep", "component", F.lit(True).alias("own")).unionByName(rows)
+    w = Window.partitionBy("leaf")                      # a leaf: at most some LEAF classes
+    rows = rows.withColumns({"_a": F.min("component").over(w), "_b": F.max("component").over(w)})
+    rows = written(rows.where("_a < _b").drop("_a", "_b"), "mixed")
+    # a pair of two components meets in such leaves only; ``leaves`` of a class: at most some 2 a tree
+    own = rows.groupBy("rep").agg(F.sort_array(F.collect_set(F.when(F.col("own"), F.col("leaf")))).alias("leaves"))
     low = map_arrow(sets, lambda bs: (pa.RecordBatch.from_arrays(
         [b.column("rep"), pa.array([r.tobytes() for r in (sig_matrix(b.column("sig")) & 255).astype(np.uint8)], pa.binary())],
         names=["rep", "sig"]) for b in bs), "rep long, sig binary")
-    placed = written(only_ids(low, "rep", rows).join(own, "rep", "left")
-                     .select("rep", "sig", F.coalesce("leaves", F.array().cast("array<long>")).alias("leaves")), "placed")
-    want = written(to_confirm(rows.join(placed, "rep"), percent), "to-confirm")
-    texts = only_ids(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep", want)
-    return written(confirmed(want.join(label, "rep").join(placed, "rep").join(texts, "rep")
-                             .select("leaf", "rep", "component", "sig", "leaves", "text"), percent), "links")
+    placed = rows.join(own, "rep").join(low, "rep").select("leaf", "rep", "component", "sig", "leaves")
+    want = written(to_confirm(placed, percent), "to-confirm")
+    texts = maybe_ids(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep", want)
+    return written(confirmed(want.join(texts, "rep"), percent), "links")
 
 
-def labelled(single: DataFrame, links: DataFrame) -> DataFrame:
+def labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
     """(rep, component) of all classes by the links so far."""
-    return written(single.select("rep").join(components(links), F.col("rep") == F.col("id"), "left")
+    return written(sets.select("rep").join(components(links), F.col("rep") == F.col("id"), "left")
                    .select("rep", F.coalesce("component", "rep").alias("component")), "labels")
 
 
+def stars(label: DataFrame) -> DataFrame:
+    """(a, b): the components so far as links."""
+    return label.where("rep <> component").select(F.col("rep").alias("a"), F.col("component").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
-    sig = written(signatures(docs), "signatures")
+    sig, key = written(signatures(docs), "signatures"), ["f1", "f2", "n_shingles"]
     full = sig.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    # rows that share a doc_id but not a text are one document: link their classes to the smallest
-    member = written(full.join(classes, ["f1", "f2", "n_shingles"]).select("doc_id", "rep"), "members")
-    least = member.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most")
-    twice = member.join(least, "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
-    sets = written(full.join(classes.select("f1", "f2", "n_shingles", "rep"), ["f1", "f2", "n_shingles"])
-                   .where("doc_id = rep").select("rep", "sig").dropDuplicates(["rep"]), "sets")
-    small, large = leaves(sets, percent, range(1))
-    single = sets.select("rep", F.col("rep").alias("component"))
-    links = found(small, within_blocks(large), sets, docs, single, percent).unionByName(twice)
-    label = labelled(single, links)
-    small, more = leaves(sets, percent, range(1, TREES))
-    links = links.unionByName(found(small, within_blocks(more), sets, docs, label, percent))
-    large = written(large.unionByName(more), "large")
+    # a class: its smallest doc_id stands for it
+    sets = written(full.groupBy(*key).agg(F.min(F.struct(F.col("doc_id").alias("rep"), "sig")).alias("m"))
+                   .select(*key, "m.rep", "m.sig"), "sets")
+    classes, twice = sets.select(*key, "rep"), None
+    texts = full.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key)).alias("b"))
+    shared = written(texts.where("a <> b").select("doc_id"), "shared").limit(1).count() > 0
+    if shared:
+        # rows that share a doc_id but not a text are one document: link their classes to the smallest
+        member = full.join(classes, key).select("doc_id", "rep")
+        least = member.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most")
+        twice = written(member.join(least, "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b").distinct(), "twice")
+        sets = written(sets.select("rep", "sig").dropDuplicates(["rep"]), "sets")
+    sets = sets.select("rep", "sig")
+    small, large = leaves(sets, None, percent, range(1))
+    links = found(small, within_blocks(large), sets, docs, percent)
+    label = labelled(sets, links.unionByName(twice) if shared else links)
+    small, more = leaves(sets, label, percent, range(1, TREES))
+    label = labelled(sets, stars(label).unionByName(found(small, within_blocks(more), sets, docs, percent)))
+    large = large.unionByName(more).drop("component").join(label, "rep")
+    several = large.groupBy("node").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("node")
+    large = written(large.join(several, "node", "left_semi"), "large")
     if large.limit(1).count():
-        label = labelled(single, links)
-        links = links.unionByName(found(small.limit(0), across_components(large.join(label, "rep")), sets, docs, label, percent))
-    comp = components(links)
-    of = (member.join(comp, member["rep"] == comp["id"], "left")
-          .groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id")))
-    return (sig.select("doc_id", "n_shingles").join(of, "doc_id", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        links = found(None, across_components(large), sets, docs, percent)
+        label = labelled(sets, stars(label).unionByName(links))
+    of = full.select("doc_id", *key).join(classes, key).join(label, "rep") if shared else classes.join(label, "rep")
+    if shared:
+        out = sig.join(of.groupBy("doc_id").agg(F.min("component").alias("component")), "doc_id", "left")
+    else:
+        out = sig.join(of.select(*key, "component"), key, "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return (out.select("doc_id", "n_shingles", own.alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 

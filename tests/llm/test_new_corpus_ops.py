@@ -294,3 +294,40 @@ def test_stages_take_clashing_columns_and_shared_ids(spark):
     got = Counter((r["doc_id"], r["text"]) for r in substring_dedup.cut_repeats(docs(spark, rows)).collect())
     assert got[(2, None)] == got[(2, clean)] == got[(None, passage)] == 1
     assert sum(passage in (t or "") for i, t in got if i is not None) == 1 and len(got) == len(rows)
+
+
+def test_components_rounds(spark, monkeypatch):
+    """Stars are left as they are, without a round; other graphs against brute force, repeated edges and loops included."""
+    from fundlens.llm import common
+    tables = []
+    written = common.written
+    monkeypatch.setattr(common, "written", lambda df, tag: tables.append(tag) or written(df, tag))
+
+    def run(edges):
+        tables.clear()
+        got = common.components(spark.createDataFrame(edges, "a long, b long"))
+        return {r["id"]: r["component"] for r in got.collect()}
+
+    assert run([(i, 1) for i in range(2, 40)] + [(100, 90), (90, 100), (101, 90)]) == {
+        **{i: 1 for i in range(1, 40)}, 90: 90, 100: 90, 101: 90}
+    assert len(tables) == 1
+    assert run([(5, 5), (None, 3)]) == {}
+    rng = np.random.default_rng(3)
+    n = 120
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, n, (90, 2))] + [(i, i + 1) for i in range(60, 90)]
+    got = run(pairs + pairs[:20] + [(b, a) for a, b in pairs[:20]])
+    want = brute_components(n, [p for p in pairs if p[0] != p[1]])
+    assert all(got.get(i, i) == want[i] for i in range(n))
+
+
+def test_settled_nodes_go_no_further(spark, monkeypatch):
+    """A large node whose classes are one component already is not split on; one of several is, down to the last level."""
+    from fundlens.llm import near_dedup
+    monkeypatch.setattr(near_dedup, "LEAF", 8)
+    sig = np.arange(near_dedup.COORDINATES, dtype="<u4").tobytes()
+    sets = spark.createDataFrame([(i, sig) for i in range(20)], "rep long, sig binary")
+    for parts, rows in ((1, 0), (2, 20)):
+        label = spark.createDataFrame([(i, i % parts) for i in range(20)], "rep long, component long")
+        small, large = near_dedup.leaves(sets, label, 85, range(1, 2))
+        assert small.count() == 0
+        assert large.select("rep").distinct().count() == rows
