@@ -331,3 +331,26 @@ def test_settled_nodes_go_no_further(spark, monkeypatch):
         small, large = near_dedup.leaves(sets, label, 85, range(1, 2))
         assert small.count() == 0
         assert large.select("rep").distinct().count() == rows
+
+
+def test_near_dedup_tables_take_few_files(spark, monkeypatch):
+    """A scratch table has at most a file a core or an eighth of the shuffle partitions, and all its rows."""
+    from pathlib import Path
+    from fundlens.llm import common, near_dedup
+    tables = []
+    for module in (common, near_dedup):
+        monkeypatch.setattr(module, "written", lambda df, tag, f=module.written: tables.append(f(df, tag)) or tables[-1])
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    rows = [(i, " ".join(f"w{i // 2}x{j}" for j in range(40)) + " end" * (i % 2)) for i in range(200)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(spark, rows), 80).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i // 2 * 2 for i in range(200)}
+    most = max(spark.sparkContext.defaultParallelism, 32 // common.PARTS_A_FILE)
+    files = [len(list(Path(t.written_at.removeprefix("file:")).glob("part-*.parquet"))) for t in tables]
+    assert len(files) > 10 and max(files) <= most, files
