@@ -225,6 +225,50 @@ def test_passage_whose_parts_stand_elsewhere(spark):
     assert got == {(2, 5, 1, 0), (3, 0, 1, 0), (3, 0, 2, 5), (3, 9, 1, 0), (3, 9, 2, 5)}
 
 
+def test_edited_passage_whose_parts_stand_elsewhere(spark):
+    # every seed of the last text's edited passage has other first and previous documents than the one that holds it whole
+    p = [f"p{i}" for i in range(64)]
+    edited = [*p[:16], "changed", *p[17:47], "again", *p[48:]]
+    own = iter(range(10**6))
+    pad = lambda n: [f"o{next(own)}" for _ in range(n)]
+    parts = [p[:40], p[24:], p, p[:40], p[24:], edited]
+    texts = [(d + 1, " ".join(pad(5 + 7 * d) + q + pad(30))) for d, q in enumerate(parts)]
+    got = [tuple(r) for r in substring_dedup.repeats(docs(spark, texts)).collect()]
+    assert got == [(6, 40, 104, 3, 19, 83, 2)]
+
+
+def test_every_chain_is_covered(spark, monkeypatch):
+    rng = np.random.default_rng(64)
+    lines = [[f"l{k}x{i}" for i in range(int(rng.integers(14, 32)))] for k in range(12)]     # frequent lines
+    texts = []
+    for _ in range(40):
+        t = [w for k in rng.integers(0, 12, 8).tolist() for w in lines[k]]
+        texts.append([f"e{rng.integers(10**6)}" if rng.random() < 0.03 else w for w in t])
+    texts += [texts[0], texts[5], texts[5]]
+    monkeypatch.setattr(substring_dedup, "HOT_PAIRS", 3)
+    rows = [(d, " ".join(t)) for d, t in enumerate(texts)]
+    got = substring_dedup.repeats(docs(spark, rows)).collect()
+    spans = [[(r["start_word"], r["end_word"]) for r in got if r["doc_id"] == d] for d in range(len(texts))]
+    own: dict[int, list] = {}
+    for r in substring_dedup.seeds(docs(spark, rows)).collect():
+        own.setdefault(r["doc"], []).append((r["h"], r["pos"]))
+    words = [np.array([hash(w) & 0xFFFFFFFF for w in t]) for t in texts]
+    k, n = substring_dedup.K, 0
+    for x in range(len(texts)):
+        for y in range(x):
+            both = sorted((a, b) for h, a in own[x] for g, b in own[y] if g == h)
+            if not both:
+                continue
+            xs, ys = (np.array(v) for v in zip(*both, strict=True))
+            for c in substring_dedup.chains(xs, ys):
+                if len(c) > 1 and xs[c[-1]] - xs[c[0]] + k >= substring_dedup.SHORT and substring_dedup.align(
+                        words[x], xs[c[0]], xs[c[-1]] + k, words[y], ys[c[0]], ys[c[-1]] + k, 50, 0.8):
+                    n += 1
+                    for i in c:
+                        assert any(s <= xs[i] and e >= xs[i] + k for s, e in spans[x]), (x, y, xs[i])
+    assert n > 20
+
+
 def test_every_exact_repeat_is_covered(spark):
     rng = np.random.default_rng(63)
     lines = [[f"l{k}x{i}" for i in range(int(rng.integers(8, 40)))] for k in range(12)]      # frequent lines
