@@ -269,6 +269,57 @@ def test_every_chain_is_covered(spark, monkeypatch):
     assert n > 20
 
 
+def test_repeated_words_meet_by_what_stands_beside_them(spark):
+    """Documents that repeat one word less than min_words times are no partners for that alone: no square of their places."""
+    def rest(texts):
+        table = substring_dedup.written(substring_dedup.seeds(docs(spark, texts)), "seeds")
+        told = spark.createDataFrame([], ", ".join(f"{c} long" for c in substring_dedup.NAMES))
+        return {(r["x"], r["y"]) for r in substring_dedup.rest(docs(spark, texts), table, told).collect()}
+
+    own = [[f"u{d}x{i}" for i in range(40)] for d in range(24)]
+    assert rest([(d, " ".join(["the"] * (30 + d % 15) + own[d])) for d in range(24)]) == set()
+    # the same words beside the repeated ones, after an unequal one: partners
+    tail = [f"t{i}" for i in range(5)]
+    assert rest([(d, " ".join(["the"] * 46 + [f"v{d}"] + (tail if d in (3, 7) else []) + own[d])) for d in range(24)]) == {(7, 3)}
+
+
+def test_every_chain_over_repeated_words_is_covered(spark):
+    rng = np.random.default_rng(66)
+    lines = [[f"l{k}x{i}" for i in range(int(rng.integers(10, 30)))] for k in range(4)]
+    texts = []
+    for d in range(30):
+        t = []
+        for i in range(6):
+            n, w = int(rng.integers(8, 40)), int(rng.integers(3))
+            t += [[f"w{w}"] * n, [f"w{w}", "and"] * (n // 2), lines[int(rng.integers(4))], [f"u{d}x{i}x{j}" for j in range(n // 6)]][int(rng.integers(4))]
+        texts.append([f"e{rng.integers(10**6)}" if rng.random() < 0.02 else w for w in t])
+    rows = [(d, " ".join(t)) for d, t in enumerate(texts)]
+    got = substring_dedup.repeats(docs(spark, rows)).collect()
+    spans = [[(r["start_word"], r["end_word"]) for r in got if r["doc_id"] == d] for d in range(len(texts))]
+    own: dict[int, list] = {}
+    for r in substring_dedup.seeds(docs(spark, rows)).collect():
+        own.setdefault(r["doc"], []).append((r["h"], r["pos"]))
+    words = [np.array([hash(w) & 0xFFFFFFFF for w in t]) for t in texts]
+    k, n = substring_dedup.K, 0
+    for x in range(len(texts)):
+        for y in range(x):
+            both = sorted((a, b) for h, a in own.get(x, []) for g, b in own.get(y, []) if g == h)
+            if not both:
+                continue
+            xs, ys = (np.array(v) for v in zip(*both, strict=True))
+            for c in substring_dedup.chains(xs, ys):
+                if len(c) < 2 or xs[c[-1]] - xs[c[0]] + k < substring_dedup.SHORT:
+                    continue
+                breaks = np.frombuffer(substring_dedup.gaps(xs[c], ys[c]), "<i4").reshape(-1, 4)
+                for start, end, *_ in substring_dedup.passages(words[x], xs[c[0]], xs[c[-1]] + k, words[y], ys[c[0]], ys[c[-1]] + k,
+                                                               breaks, 50, 0.8):
+                    n += 1
+                    for i in c:
+                        if start <= xs[i] and end >= xs[i] + k:
+                            assert any(s <= xs[i] and e >= xs[i] + k for s, e in spans[x]), (x, y, xs[i])
+    assert n > 5
+
+
 def test_every_exact_repeat_is_covered(spark):
     rng = np.random.default_rng(63)
     lines = [[f"l{k}x{i}" for i in range(int(rng.integers(8, 40)))] for k in range(12)]      # frequent lines
