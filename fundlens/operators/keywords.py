@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fundlens import dims
 from fundlens.functions import normalize as N
 from fundlens.functions import text as T
 from fundlens.operators import aggregate as A
@@ -57,6 +58,19 @@ def keyword_gram(kw: Column) -> Column:
             .otherwise(F.raise_error(F.concat(F.lit("not an indexable keyword: "), kw))))
 
 
+BITMAP_WORDS = 1 << 18   # 64-bit words: a 16-million-bit filter, 2 MB
+
+
+def maybe_in(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``key`` may be in that column of ``ids``, by a hash bitmap of a fixed size: most others are
+    let go before a join with ``ids`` shuffles them. The bitmap's words are broadcast (at most BITMAP_WORDS rows)."""
+    at = F.pmod(F.xxhash64(key), F.lit(64 * BITMAP_WORDS))
+    bits = (ids.select(at.alias("_at")).select(F.shiftright("_at", 6).alias("_w"), F.expr("shiftleft(1L, cast(_at % 64 as int))").alias("_b"))
+            .groupBy("_w").agg(F.bit_or("_b").alias("_b")))
+    hit = rows.withColumn("_at", at).join(F.broadcast(bits), F.shiftright("_at", 6) == F.col("_w"))
+    return hit.where(F.getbit("_b", (F.col("_at") % 64).cast("int")) == 1).select(*rows.columns)
+
+
 def keyword_index(vocabulary: DataFrame, keywords: DataFrame) -> DataFrame:
     """(run, word): the keywords that each run of ``vocabulary(run)`` contains, each pair once.
 
@@ -64,40 +78,63 @@ def keyword_index(vocabulary: DataFrame, keywords: DataFrame) -> DataFrame:
     substrings of the lengths GRAMS (one regex pass each, linear in its length), a keyword its first characters, as
     many as the greatest of these lengths that it has. Only pairs that share them are tested: a keyword of a
     length in GRAMS meets only runs that contain it, a longer one few others, however many keywords there are.
-    Keywords have at least GRAM characters and no white space; another one fails the job.
+    Keywords have at least GRAM characters and no white space; another one fails the job. Substrings that no
+    keyword has are let go before the shuffle.
     """
-    return (vocabulary.select("run", F.explode(run_grams(F.col("run"))).alias("gram"))
-            .join(keywords.select("word").distinct().select("word", keyword_gram(F.col("word")).alias("gram")), "gram")
+    firsts = keywords.select("word").distinct().select("word", keyword_gram(F.col("word")).alias("gram"))
+    grams = vocabulary.select("run", F.explode(run_grams(F.col("run"))).alias("gram"))
+    return (maybe_in(grams, "gram", firsts).join(firsts, "gram")
             .where(F.col("run").contains(F.col("word"))).select("run", "word"))
 
 
-def keyword_matches_indexed(projects: DataFrame, keywords: DataFrame) -> DataFrame:
+def space_runs(text: Column) -> Column:
+    """The distinct runs of a text without white space: each keyword lies inside one."""
+    return F.array_distinct(F.split(text, r"\s+"))
+
+
+def letter_runs(text: Column) -> Column:
+    """The distinct runs of keyword letters of a lower-case text that are long enough for a title word: each lies inside one."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"[{dims.KEYWORD_LETTERS}]{{{T.KEYWORD_MIN_KEPT},}}"), 0))
+
+
+def word_id(word: str) -> Column:
+    return F.xxhash64(word)
+
+
+def keyword_matches_indexed(projects: DataFrame, keywords: DataFrame, runs_of=space_runs, key=F.col) -> DataFrame:
     """(word, start_year, amount) of :func:`keyword_matches` for any number of keywords (C4).
 
-    A keyword lies inside a run of a title without white space, so the index is built on the distinct runs
-    of all titles (combined before the shuffle) and joined back by run, all keywords of a run in one row; AQE splits
+    A keyword lies inside a run of a title (``runs_of``: without white space), so the index is built on the distinct
+    runs of all titles (combined before the shuffle) and joined back by run, all keywords of a run in one row; AQE splits
     a run that very many titles hold. A title that holds a keyword in several runs counts once, by its
-    row_id, which is unique: its keywords meet in one row, bounded by its own length.
+    row_id, which is unique: its keywords meet in one row, bounded by its own length. They travel as ``key`` of the word.
     """
     own = ["row_id", "start_year", "amount"]
     runs = (projects.where(F.col("title").isNotNull())
             .select(*own, F.lower("title").alias("_lt"))
-            .select(*own, F.explode(F.array_distinct(F.split("_lt", r"\s+"))).alias("run"))
+            .select(*own, F.explode(runs_of(F.col("_lt"))).alias("run"))
             .where(F.length("run") >= GRAM))
     hits = (keyword_index(runs.select("run").distinct(), keywords)
-            .groupBy("run").agg(F.collect_list("word").alias("words")))      # bounded by the run's own length
+            .groupBy("run").agg(F.collect_list(key("word")).alias("words")))      # bounded by the run's own length
     return (runs.join(hits, "run").groupBy(*own).agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
             .select(F.explode("words").alias("word"), "start_year", "amount"))
 
 
 def keyword_reconcile_all(projects: DataFrame) -> DataFrame:
-    """:func:`keyword_reconcile` for every title word (lower case), with the matches' funding, through the index."""
+    """:func:`keyword_reconcile` for every title word (lower case), with the matches' funding, through the index.
+
+    Title words have letters only, so titles are cut into runs of letters. Matches are counted by a 64-bit hash of the
+    word (a third of its bytes in the shuffles); two words with one hash fail the job.
+    """
     words = word_counts(projects)
-    matches = keyword_matches_indexed(projects, words).groupBy("word").agg(
+    matches = keyword_matches_indexed(projects, words, letter_runs, word_id).groupBy(F.col("word").alias("_id")).agg(
         F.count(F.lit(1)).alias("project_matches"), N.money(F.sum("amount")).alias("funding"))
     pm = F.coalesce("project_matches", F.lit(0))
-    return (words.join(matches, "word", "left")
-            .select("word", F.col("count").alias("word_count"), pm.alias("project_matches"),
+    same = Window.partitionBy("_id")
+    one = F.when(F.col("_n") == 1, F.col("word")).otherwise(F.raise_error(F.concat(F.lit("two words with one hash: "), F.col("word"))))
+    return (words.withColumn("_id", word_id("word")).withColumn("_n", F.count(F.lit(1)).over(same))
+            .join(matches, "_id", "left")
+            .select(one.alias("word"), F.col("count").alias("word_count"), pm.alias("project_matches"),
                     "funding", F.round(N.safe_ratio(pm, "count"), 6).alias("match_ratio")))
 
 

@@ -113,6 +113,45 @@ def test_keyword_index_has_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_keyword_index_shuffles_only_what_keywords_have(spark):
+    """Substrings that no keyword has, and runs that no title word can lie in, are let go before the shuffle."""
+    runs = spark.createDataFrame([(f"{'abcdefgh' * 3}{i}",) for i in range(200)] + [("xsonnex",)], "run string")
+    kw = spark.createDataFrame([("sonne",), ("nirgends",)], "word string")
+    grams = runs.select("run", F.explode(K.run_grams(F.col("run"))).alias("gram"))
+    left = K.maybe_in(grams, "gram", kw.select(K.keyword_gram(F.col("word")).alias("gram"))).select("run", "gram").collect()
+    assert ("xsonnex", "sonne") in {tuple(r) for r in left} and len(left) < 20       # of several thousand
+    assert [tuple(r) for r in K.keyword_index(runs, kw).collect()] == [("xsonnex", "sonne")]
+    title = spark.createDataFrame([("sonne, (sonne) sonne1sonnen der straße\u00e9erz abc",)], "t string")
+    assert sorted(title.select(K.letter_runs(F.col("t")).alias("r")).first()["r"]) == ["sonne", "sonnen", "straße"]
+
+
+def test_keyword_reconcile_all_equals_contains(spark):
+    titles = ["Sonne und Sonnenwende, Sonnen", "SONNE\tmond", "xSonnenkraft", "Mond-schein mondscheinx9", "", None, "abc de 12345",
+              "Straßenbau der Zukunft", "sonnen sonnen sonnen", "İsonneİ Sonnené", "ZUKUNFT_bau zukunfts-sonne"]
+    p = proj(spark, [dict(title=t, amount=i + 1, start_date=dt.date(2000 + i, 1, 1)) for i, t in enumerate(titles)])
+    count = {r["word"]: r["count"] for r in K.word_counts(p).collect()}
+    want = {}
+    for w in count:
+        hits = [i for i, t in enumerate(titles) if t is not None and w in t.lower()]
+        want[w] = (count[w], len(hits), sum(i + 1 for i in hits))
+    got = {r["word"]: (r["word_count"], r["project_matches"], r["funding"]) for r in K.keyword_reconcile_all(p).collect()}
+    assert got == want and len(want) > 5
+
+
+def test_texts_are_joined_last(spark):
+    """No other join of the projects view shuffles the documents' texts."""
+    import __spark_entry__ as e
+    from fundlens.sources.tables import projects
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = projects(spark, e.SMOKE_DIR).select("row_id", "title", "city")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [x for x in plan.splitlines() if "Join " in x]
+    assert "doc_id" in joins[0], plan
+
+
 def test_keyword_index_tests_few_pairs(spark):
     stems = ["".join("xyz"[i // 3 ** k % 3] for k in range(5)) for i in range(243)]
     words = [f"abcd{t}" for t in stems] + [f"abcd{t}{t}{t}{t}" for t in stems[:40]] + ["abcd"]
