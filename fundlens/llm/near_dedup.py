@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundlens.llm.bytewords import U, mix, shingle_sets
-from fundlens.llm.common import byte_chunks, components, key_runs, map_arrow, maybe_ids, partitions, written
+from fundlens.llm.common import byte_chunks, components, in_few_files, key_runs, map_arrow, maybe_ids, partitions, written
 
 PERCENT = 85           # of the query; the pipeline's stage takes STAGE_PERCENT
 STAGE_PERCENT = 80
@@ -129,16 +129,16 @@ def leaves(sets: DataFrame, label: DataFrame | None, percent: int, trees: range)
     still larger after all levels. A large node whose classes are one component by ``label`` (none: each its
     own) has nothing left to link and goes no further."""
     roots = split(sets.withColumn("component", F.col("rep")), trees, percent)
-    paths, out = written(roots if label is None else roots.drop("component").join(label, "rep").select("node", "rep", "component"), "paths"), None
+    paths, out = written(in_few_files(roots if label is None else roots.drop("component").join(label, "rep").select("node", "rep", "component")), "paths"), None
     for level in range(LEVELS):
         sizes = paths.groupBy("node").agg(F.count("*").alias("n"), (F.min("component") < F.max("component")).alias("mixed"))
-        many = written(sizes.where(F.col("n") > LEAF), "many")       # at most a LEAF-th of the rows
+        many = written(in_few_files(sizes.where(F.col("n") > LEAF)), "many")       # at most a LEAF-th of the rows
         small = paths.join(many, "node", "left_anti").select(F.col("node").alias("leaf"), "rep", "component")
         out = small if out is None else out.unionByName(small)
         large = paths.join(many.where("mixed"), "node").select("node", "rep", "component", "n")
         if level == LEVELS - 1 or not many.where("mixed").limit(1).count():
             return out, large
-        paths = written(split(large.join(sets, "rep"), None, percent), "paths")
+        paths = written(in_few_files(split(large.join(sets, "rep"), None, percent)), "paths")
 
 
 def blocks(n: Column) -> tuple[Column, Column]:
@@ -259,22 +259,22 @@ def found(small: DataFrame | None, large: DataFrame, sets: DataFrame, docs: Data
         rows = small.select("leaf", "rep", "component", F.lit(True).alias("own")).unionByName(rows)
     w = Window.partitionBy("leaf")                      # a leaf: at most some LEAF classes
     rows = rows.withColumns({"_a": F.min("component").over(w), "_b": F.max("component").over(w)})
-    rows = written(rows.where("_a < _b").drop("_a", "_b"), "mixed")
+    rows = written(in_few_files(rows.where("_a < _b").drop("_a", "_b")), "mixed")
     # a pair of two components meets in such leaves only; ``leaves`` of a class: at most some 2 a tree
     own = rows.groupBy("rep").agg(F.sort_array(F.collect_set(F.when(F.col("own"), F.col("leaf")))).alias("leaves"))
     low = map_arrow(sets, lambda bs: (pa.RecordBatch.from_arrays(
         [b.column("rep"), pa.array([r.tobytes() for r in (sig_matrix(b.column("sig")) & 255).astype(np.uint8)], pa.binary())],
         names=["rep", "sig"]) for b in bs), "rep long, sig binary")
     placed = rows.join(own, "rep").join(low, "rep").select("leaf", "rep", "component", "sig", "leaves")
-    want = written(to_confirm(placed, percent), "to-confirm")
+    want = written(in_few_files(to_confirm(placed, percent)), "to-confirm")
     texts = maybe_ids(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep", want)
-    return written(confirmed(want.join(texts, "rep"), percent), "links")
+    return written(in_few_files(confirmed(want.join(texts, "rep"), percent)), "links")
 
 
 def labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
     """(rep, component) of all classes by the links so far."""
-    return written(sets.select("rep").join(components(links), F.col("rep") == F.col("id"), "left")
-                   .select("rep", F.coalesce("component", "rep").alias("component")), "labels")
+    return written(in_few_files(sets.select("rep").join(components(links), F.col("rep") == F.col("id"), "left")
+                   .select("rep", F.coalesce("component", "rep").alias("component"))), "labels")
 
 
 def stars(label: DataFrame) -> DataFrame:
@@ -284,20 +284,20 @@ def stars(label: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
-    sig, key = written(signatures(docs), "signatures"), ["f1", "f2", "n_shingles"]
+    sig, key = written(in_few_files(signatures(docs)), "signatures"), ["f1", "f2", "n_shingles"]
     full = sig.where("n_shingles > 0 and doc_id is not null")
     # a class: its smallest doc_id stands for it
-    sets = written(full.groupBy(*key).agg(F.min(F.struct(F.col("doc_id").alias("rep"), "sig")).alias("m"))
-                   .select(*key, "m.rep", "m.sig"), "sets")
+    sets = written(in_few_files(full.groupBy(*key).agg(F.min(F.struct(F.col("doc_id").alias("rep"), "sig")).alias("m"))
+                   .select(*key, "m.rep", "m.sig")), "sets")
     classes, twice = sets.select(*key, "rep"), None
     texts = full.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key)).alias("b"))
-    shared = written(texts.where("a <> b").select("doc_id"), "shared").limit(1).count() > 0
+    shared = written(in_few_files(texts.where("a <> b").select("doc_id")), "shared").limit(1).count() > 0
     if shared:
         # rows that share a doc_id but not a text are one document: link their classes to the smallest
         member = full.join(classes, key).select("doc_id", "rep")
         least = member.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most")
-        twice = written(member.join(least, "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b").distinct(), "twice")
-        sets = written(sets.select("rep", "sig").dropDuplicates(["rep"]), "sets")
+        twice = written(in_few_files(member.join(least, "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b").distinct()), "twice")
+        sets = written(in_few_files(sets.select("rep", "sig").dropDuplicates(["rep"])), "sets")
     sets = sets.select("rep", "sig")
     small, large = leaves(sets, None, percent, range(1))
     links = found(small, within_blocks(large), sets, docs, percent)
@@ -306,7 +306,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     label = labelled(sets, stars(label).unionByName(found(small, within_blocks(more), sets, docs, percent)))
     large = large.unionByName(more).drop("component").join(label, "rep")
     several = large.groupBy("node").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("node")
-    large = written(large.join(several, "node", "left_semi"), "large")
+    large = written(in_few_files(large.join(several, "node", "left_semi")), "large")
     if large.limit(1).count():
         links = found(None, across_components(large), sets, docs, percent)
         label = labelled(sets, stars(label).unionByName(links))
@@ -323,7 +323,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id."""
     kind = docs.schema["doc_id"].dataType
-    gone = written(near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").cast(kind)), "gone")
+    gone = written(in_few_files(near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").cast(kind))), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)     # ids only: broadcast while Spark's size limit allows it
 
 
