@@ -138,6 +138,16 @@ def test_keyword_reconcile_all_equals_contains(spark):
     assert got == want and len(want) > 5
 
 
+def test_title_words_are_counted_once(spark):
+    """The index, its bitmap and the result share one shuffle of the counted words."""
+    import __spark_entry__ as e
+    got = e.queries()["keyword_reconcile_all"](spark, e.SMOKE_DIR)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    counted = [x for x in plan.splitlines() if "HashAggregate" in x and "keys=[word#" in x and "functions=[partial_count(1)]" in x]
+    assert len(counted) == 1, plan
+
+
 def test_texts_are_joined_last(spark):
     """No other join of the projects view shuffles the documents' texts."""
     import __spark_entry__ as e
